@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import chat_format, exact_dedup, line_dedup, sharding
+from saltmarsh.llm import chat_format, exact_dedup, line_dedup, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 @query
 def op4_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.bounded_ring_shards(table(spark, sf_dir, "documents"), shards=40, virtual_nodes=64, epsilon=0.0)
@@ -67,6 +73,14 @@ FROM summed GROUP BY conv_id
 """
 
 
+@query
+def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"
+    )
+
+
 @query
 def op9_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), with_digest=True)
