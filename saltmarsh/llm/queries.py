@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, sharding, simhash
+from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, line_dedup, lm_scoring, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,11 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf_quality.judged(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+@query
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.bounded_ring_shards(table(spark, sf_dir, "documents"), shards=40, virtual_nodes=64, epsilon=0.0)
