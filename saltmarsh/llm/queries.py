@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, line_dedup, lm_scoring, packing, sharding, simhash
+from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,6 +105,12 @@ def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op9_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), with_digest=True)
@@ -148,3 +155,8 @@ SELECT page_id, host, array_to_string(left_over, chr(10)) AS text, len(lines)::B
     (len(lines) - len(left_over))::BIGINT AS n_dropped
 FROM kept
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
