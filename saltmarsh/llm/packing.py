@@ -6,6 +6,7 @@ import os
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 #: Window lengths, each twice the one before; the last is the longest sequence.
 TIERS = (256, 512, 1024, 2048)
 #: Words whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: New words are encoded so many at a time.
+TOGETHER = 500
 
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict = {}
@@ -30,21 +33,38 @@ class WordTokenizer:
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer, self.known = _tokenizers[path], _known.setdefault(path, {})
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()  # at the ASCII white space; other white space is left to the tokenizer
-            if new := list({w for w in words if w not in self.known}):
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                    new = list(set(words))
-                found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                self.known.update((w, _packed(x.ids)) for w, x in zip(new, found, strict=True))
-            yield b"".join(map(self.known.__getitem__, words))
+        special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        #: A special token parts words that are encoded together.
+        self.border_id, self.border = special[0] if special else (None, None)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.split() for text in texts]  # at the ASCII white space; other white space is left to the tokenizer
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = sorted(set().union(*split).difference(self.known))
+        if self.border is not None:
+            mark = self.border.encode()
+            alone = [w for w in new if mark in w]
+            new = [w for w in new if mark not in w]
+            for k in range(0, len(new), TOGETHER):
+                some = new[k : k + TOGETHER]
+                self.known.update(zip(some, self._together(some), strict=True))
+            new = alone
+        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
+        self.known.update((w, _packed(x.ids)) for w, x in zip(new, found, strict=True))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, from one text in which the border token stands between the words."""
+        text = f" {self.border} ".encode().join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        borders = np.flatnonzero(ids == self.border_id)
+        raw, starts, ends = ids.tobytes(), (np.append(0, borders + 1) * 4).tolist(), (np.append(borders, len(ids)) * 4).tolist()
+        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 class Packer:
@@ -185,15 +205,17 @@ def packed(
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         waiting = 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for k in range(batch.num_rows):
-                ids = next(encode([texts[k].as_py() or b""])) + end
-                held[number] = (batch.column(0)[k].as_py(), ids)
-                windows += packer.add(number, len(ids) // 4)
-                number, waiting = number + 1, waiting + len(ids) // 4
-                if waiting >= hold_tokens:
-                    yield from out()
-                    waiting = 0
+            for first in range(0, batch.num_rows, 200):
+                some = batch.slice(first, 200)
+                texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    held[number] = (doc_id, ids + end)
+                    n = len(ids) // 4 + 1
+                    windows += packer.add(number, n)
+                    number, waiting = number + 1, waiting + n
+                    if waiting >= hold_tokens:
+                        yield from out()
+                        waiting = 0
         if waiting:
             yield from out()
 

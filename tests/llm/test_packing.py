@@ -20,7 +20,12 @@ def plain_ids(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\x0b\x1c\x85\xa0 ΣσİiA'ś<|endoftext|>")), max_size=40))
 def test_ids_are_the_library_s(text):
-    assert next(packing.WordTokenizer(PATH)([text.encode()])) == packing._packed(plain_ids(text))
+    assert packing.WordTokenizer(PATH)([text.encode(), b"word"]) == [packing._packed(plain_ids(text)), packing._packed(plain_ids("word"))]
+
+
+def test_special_tokens_in_texts():
+    for text in ("a <|startoftext|> b", "x<|startoftext|>y <|endoftext|>", "<|startoftext|>"):
+        assert packing.WordTokenizer(PATH)([text.encode(), b"next"])[0] == packing._packed(plain_ids(text))
 
 
 def checked(rows, docs, longest=2048):
