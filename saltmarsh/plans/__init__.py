@@ -1,0 +1,7 @@
+"""Queries of the library over the test tables."""
+
+from saltmarsh.plans import stats  # noqa: F401  registers its queries
+from saltmarsh.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "agg_topn_others"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
