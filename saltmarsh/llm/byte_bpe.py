@@ -27,10 +27,15 @@ _names = ["block", "kind", "bucket", "ids", "counts", "codes", "data"]
 _types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
 
+@lru_cache(maxsize=1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """32-bit unsigned integers, byte plane by byte plane, compressed."""
     raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
 
 
 def widened(data: bytes) -> np.ndarray:
@@ -40,7 +45,7 @@ def widened(data: bytes) -> np.ndarray:
 
 def squeezed_strings(parts: list[bytes]) -> bytes:
     lengths, raw = squeezed(np.fromiter(map(len, parts), np.int64, len(parts))), b"".join(parts)
-    return len(lengths).to_bytes(8, "little") + lengths + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(lengths).to_bytes(8, "little") + lengths + len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
 
 
 def widened_strings(data: bytes) -> list[bytes]:
@@ -74,11 +79,15 @@ def _blocks(docs: DataFrame, buckets: int, block_chars: int) -> DataFrame:
 
     def rows(block: int, ids: list, counts: list[int], stream: list[np.ndarray], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
         places = np.concatenate(stream) if stream else np.zeros(0, np.int64)
-        often = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
-        rank = np.empty(len(often), np.int64)
-        rank[often] = np.arange(len(often))
         words = [w.encode() for w in numbers]
         of_bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        # Frequent words have small numbers. Words that are as frequent are in the order of their bucket and of
+        # their bytes, so that most numbers in a bucket follow each other, as do words that begin alike.
+        spelled = np.empty(len(words), np.int64)
+        spelled[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        often = np.lexsort((spelled, of_bucket, -np.bincount(places, minlength=len(words))))
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
         order = np.lexsort((rank, of_bucket))
         borders = np.flatnonzero(np.diff(of_bucket[order])) + 1
         for some in np.split(order, borders) if len(order) else []:
