@@ -1,7 +1,7 @@
 """Queries of the library over the test tables."""
 
-from saltmarsh.plans import stats, store, tracking  # noqa: F401  they register their queries
+from saltmarsh.plans import scores, stats, store, tracking  # noqa: F401  they register their queries
 from saltmarsh.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "agg_topn_others"
+FLAGSHIP = "map_territories"
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
