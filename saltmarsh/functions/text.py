@@ -129,7 +129,7 @@ def sanitized(text: Column, most: int = 2000) -> Column:
 
 #: Shapes of personal data in the order in which they are masked, with their labels (fixed values).
 PERSONAL = (
-    ("[이메일]", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
+    ("[이메일]", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("[주민등록번호]", r"(?<![0-9])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[\s\-]?[1-8]\d{6}(?![0-9])"),
     ("[카드번호]", r"(?<![0-9])\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{3,4}(?![0-9])"),
     ("[전화번호]", r"(?<![0-9])(?:\+?82[\s\-]?1[016789]|01[016789])[\s\-.]?\d{3,4}[\s\-.]?\d{4}(?![0-9])"),
@@ -141,6 +141,24 @@ PERSONAL = (
 )
 
 
+def personal_masked(text: Column) -> Column:
+    """Struct of masked, text with personal data replaced by labels, and labels, which ones in order, each once.
+
+    Each shape is looked for once, in what the ones before it left. Null text: null masked, no labels.
+    """
+    shapes = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern")) for label, pattern in PERSONAL])
+    start = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("labels"))
+
+    def step(so_far: Column, shape: Column) -> Column:
+        left = F.struct(F.regexp_replace(so_far["masked"], shape["pattern"], shape["label"]).alias("masked"), so_far["masked"].alias("was"), so_far["labels"].alias("labels"))
+        return F.element_at(
+            F.transform(F.array(left), lambda x: F.struct(x["masked"].alias("masked"), F.when(x["masked"] != x["was"], F.array_union(x["labels"], F.array(shape["label"]))).otherwise(x["labels"]).alias("labels"))),
+            1,
+        )
+
+    return F.aggregate(shapes, start, step)
+
+
 def masked(text: Column) -> Column:
     """text with personal data replaced by labels."""
     for label, pattern in PERSONAL:
@@ -150,11 +168,7 @@ def masked(text: Column) -> Column:
 
 def personal_labels(text: Column) -> Column:
     """The labels of what masked() would replace, in order, each once."""
-    found, left = [], text
-    for label, pattern in PERSONAL:
-        found.append(F.when(left.rlike(pattern), F.lit(label)))
-        left = F.regexp_replace(left, pattern, label)
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return personal_masked(text)["labels"]
 
 
 #: Shapes of addresses, and what stands in for them (fixed values).

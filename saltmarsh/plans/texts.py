@@ -39,8 +39,8 @@ def text_norm_key(spark, sf_dir):
 
 @query()
 def text_pii_mask(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.masked(F.col("text")).alias("masked"), F.array_join(text.personal_labels(F.col("text")), ",").alias("labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.personal_masked(F.col("text")).alias("found"))
+    return docs.select("doc_id", "found.masked", F.array_join("found.labels", ",").alias("labels"))
 
 
 @query(r"""SELECT doc_id, length(text) - length(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+', '', 'g')) > 0 AS has_mail FROM documents""")
