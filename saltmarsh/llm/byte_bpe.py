@@ -43,6 +43,19 @@ def widened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def squeezed_ranks(values: np.ndarray) -> bytes:
+    """Numbers of words in which small ones are frequent: a byte each, 255 standing for one of the larger numbers, which follow apart."""
+    small = _codec().compress(np.minimum(values, 255).astype(np.uint8).tobytes(), asbytes=True)
+    return len(values).to_bytes(8, "little") + len(small).to_bytes(8, "little") + small + squeezed(values[values >= 255] - 255)
+
+
+def widened_ranks(data: bytes) -> np.ndarray:
+    size, cut = int.from_bytes(data[:8], "little"), 16 + int.from_bytes(data[8:16], "little")
+    out = np.frombuffer(pa.decompress(data[16:cut], size, codec="zstd", asbytes=True), np.uint8).astype(np.uint32)
+    out[out == 255] = widened(data[cut:]) + np.uint32(255)
+    return out
+
+
 def squeezed_strings(parts: list[bytes]) -> bytes:
     lengths, raw = squeezed(np.fromiter(map(len, parts), np.int64, len(parts))), b"".join(parts)
     return len(lengths).to_bytes(8, "little") + lengths + len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
@@ -69,6 +82,13 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, of which one at a time is in Python's hands: each may hold a block's positions."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _row(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(_names, _types, strict=True)], _names)
 
@@ -92,7 +112,7 @@ def _blocks(docs: DataFrame, buckets: int, block_chars: int) -> DataFrame:
         borders = np.flatnonzero(np.diff(of_bucket[order])) + 1
         for some in np.split(order, borders) if len(order) else []:
             yield _row(block=block, kind=0, bucket=int(of_bucket[some[0]]), codes=squeezed(np.diff(rank[some], prepend=0)), data=squeezed_strings([words[k] for k in some]))
-        yield _row(block=block, kind=1, bucket=-1, ids=ids, counts=squeezed(np.array(counts)), codes=squeezed(rank[places]))
+        yield _row(block=block, kind=1, bucket=-1, ids=ids, counts=squeezed(np.array(counts)), codes=squeezed_ranks(rank[places]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, chars = TaskContext.get().partitionId() << 32, 0
@@ -144,52 +164,50 @@ def encode(
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bucket, known = encoding(ranks, pattern), None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket:
-                    bucket, known = row["bucket"], {}
-                found = widened_strings(row["data"])
-                for word in found:
-                    if word not in known:
-                        known[word] = np.array(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
-                ids = [known[w] for w in found]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                yield _row(block=row["block"], kind=0, bucket=bucket, codes=row["codes"], counts=squeezed(counts), data=squeezed(np.frombuffer(b"".join(ids), "<u4")))
+        for row in _each(batches):
+            if row["bucket"] != bucket:
+                bucket, known = row["bucket"], {}
+            found = widened_strings(row["data"])
+            for word in found:
+                if word not in known:
+                    known[word] = np.array(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
+            ids = [known[w] for w in found]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            yield _row(block=row["block"], kind=0, bucket=bucket, codes=row["codes"], counts=squeezed(counts), data=squeezed(np.frombuffer(b"".join(ids), "<u4")))
 
     word_rows = blocks.where("kind = 0").repartition(min(buckets, partitions), "bucket").sortWithinPartitions("bucket", "block")
     with_ids = word_rows.mapInArrow(words, BLOCK).unionByName(blocks.where("kind = 1"))
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, ids = [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    codes.append(np.cumsum(widened(row["codes"]).view("<i4").astype(np.int64)))
-                    counts.append(widened(row["counts"]).astype(np.int64))
-                    ids.append(widened(row["data"]))
-                    continue
-                if codes:
-                    code, count, flat = np.concatenate(codes), np.concatenate(counts), np.concatenate(ids)
-                    length, begin = np.zeros(code.max() + 1, np.int64), np.zeros(code.max() + 1, np.int64)
-                    length[code], begin[code] = count, np.cumsum(count) - count
-                places, at = widened(row["codes"]), 0
-                sizes = widened(row["counts"]).tolist()
-                part_ids, part, held = [], [], 0
-                for k, (doc_id, size) in enumerate(zip(row["ids"], sizes, strict=True)):
-                    if size:
-                        mine = places[at : at + size]
-                        n = length[mine]
-                        shift = np.repeat(begin[mine] - (np.cumsum(n) - n), n)
-                        part.append(flat[shift + np.arange(len(shift))].astype(np.int32))
-                    else:
-                        part.append(np.zeros(0, np.int32))
-                    part_ids.append(doc_id)
-                    at, held = at + size, held + len(part[-1])
-                    if held > 1_000_000 or k == len(sizes) - 1:
-                        offsets = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(part_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))], ["id", "ids"])
-                        part_ids, part, held = [], [], 0
-                codes, counts, ids = [], [], []
+        for row in _each(batches):
+            if row["kind"] == 0:
+                codes.append(np.cumsum(widened(row["codes"]).view("<i4").astype(np.int64)))
+                counts.append(widened(row["counts"]).astype(np.int64))
+                ids.append(widened(row["data"]))
+                continue
+            if codes:
+                code, count, flat = np.concatenate(codes), np.concatenate(counts), np.concatenate(ids)
+                length, begin = np.zeros(code.max() + 1, np.int64), np.zeros(code.max() + 1, np.int64)
+                length[code], begin[code] = count, np.cumsum(count) - count
+            places, at = widened_ranks(row["codes"]), 0
+            sizes = widened(row["counts"]).tolist()
+            part_ids, part, held = [], [], 0
+            for k, (doc_id, size) in enumerate(zip(row["ids"], sizes, strict=True)):
+                if size:
+                    mine = places[at : at + size]
+                    n = length[mine]
+                    shift = np.repeat(begin[mine] - (np.cumsum(n) - n), n)
+                    part.append(flat[shift + np.arange(len(shift))].astype(np.int32))
+                else:
+                    part.append(np.zeros(0, np.int32))
+                part_ids.append(doc_id)
+                at, held = at + size, held + len(part[-1])
+                if held > 1_000_000 or k == len(sizes) - 1:
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(part_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))], ["id", "ids"])
+                    part_ids, part, held = [], [], 0
+            codes, counts, ids = [], [], []
 
     whole = with_ids.repartition(partitions, "block").sortWithinPartitions("block", "kind")
     return whole.mapInArrow(assembled, "id long, ids array<int>").withColumnRenamed("id", id_col)
