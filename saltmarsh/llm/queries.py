@@ -61,7 +61,8 @@ def op5_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    marked = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    marked = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
     back = chat_format.read_back(chat_format.prefix_targets(talks))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
