@@ -189,6 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r["lines"] for r in rows], [r["label"] for r in rows])
 
 
+def judge(text: str, crf: Crf, min_share: float = 0.5, min_words: int = 50, most_repeated: int = 50) -> tuple:
+    """n_words to content_share of judged(), for one text."""
+    raw = text.encode()
+    words = raw.split()
+    n = len(words)
+    chars = len(text) - sum(text.count(c) for c in BLANK)
+    features, sizes, copies = text_lines(raw)
+    again = repeated_words(words)
+    failed = n < min_words or 100 * again > most_repeated * n
+    share = sum(s for s, y in zip(sizes, crf.decode(features), strict=True) if y) / n if n else None
+    return n, chars, sum(text.count(c) for c in SYMBOLS), copies, again, failed, not failed and share >= min_share, len(sizes), share
+
+
 def judged(
     docs: DataFrame,
     crf: Crf,
@@ -210,20 +223,9 @@ def judged(
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "content_share"]
     types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64(), pa.float64()]
 
-    def judge(text: str) -> tuple:
-        raw = text.encode()
-        words = raw.split()
-        n = len(words)
-        chars = len(text) - sum(text.count(c) for c in BLANK)
-        features, sizes, copies = text_lines(raw)
-        again = repeated_words(words)
-        failed = n < min_words or 100 * again > most_repeated * n
-        share = sum(s for s, y in zip(sizes, crf.decode(features), strict=True) if y) / n if n else None
-        return n, chars, sum(text.count(c) for c in SYMBOLS), copies, again, failed, not failed and share >= min_share, len(sizes), share
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t.as_py() or "") for t in batch.column(1)]
+            rows = [judge(t.as_py() or "", crf, min_share, min_words, most_repeated) for t in batch.column(1)]
             columns = [batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -233,6 +235,11 @@ def judged(
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Ids are expected to be unique and not null."""
-    kept = judged(docs, fit(docs, labels, id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """The rows of docs that are kept, with all their columns. Each row is judged by its own text, whatever its id."""
+    crf, at = fit(docs, labels, id_col, text_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py() or "", crf)[6] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.shared import SPACE, text_or_empty, written
+from saltmarsh.llm.shared import SPACE, first_rows, keyed, text_or_empty, written
 
 
 def normalised(text: Column) -> Column:
@@ -71,6 +71,11 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Ids are expected to be unique and not null."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """One row of each group of equal texts, with all its columns: that with the smallest id.
+
+    Rows are told apart by a number of their own, so ids may be null (never the smallest, unless the whole group
+    has none) and repeated, with the same or with other texts.
+    """
+    rows = keyed(docs, "exact-keyed")
+    members = exact_groups(rows, "_row", text_col).where("group_size > 1").select("_row", F.col("keep_id").alias("_group"))
+    return first_rows(rows, written(members, "exact-members"), id_col, "_group")

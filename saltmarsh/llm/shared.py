@@ -40,3 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def first_rows(rows: DataFrame, members: DataFrame, id_col: str, group_col: str) -> DataFrame:
+    """rows without those of members (_row, group_col) that are not the first of their group, and without _row.
+
+    The first of a group has the smallest id, nulls last; of equal ids the smallest _row. Each row of rows has its own _row.
+    """
+    placed = members.join(rows.select("_row", F.col(id_col).alias("_id")), "_row")
+    first = placed.groupBy(group_col).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    others = placed.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti")
+    return rows.join(others, "_row", "left_anti").drop("_row")
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written with a number of its own for each row in _row."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.components import components
-from saltmarsh.llm.shared import written
+from saltmarsh.llm.shared import first_rows, keyed, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Lanes are checked for abandoned blocks after so many bit planes.
@@ -210,6 +210,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each group, with all its columns. Ids are expected to be unique and not null."""
-    first = near_groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first_id"))
-    return docs.join(first, F.col(id_col) == F.col("_first_id"), "left_semi")
+    """One row of each group of near copies, with all its columns: that with the smallest id.
+
+    Rows are told apart by a number of their own, so ids may be null (never the smallest, unless the whole group
+    has none) and repeated, with the same or with other texts.
+    """
+    rows = keyed(docs, "near-keyed")
+    members = near_groups(rows, "_row", text_col).select("_row", F.col("component_id").alias("_group"))
+    return first_rows(rows, written(members, "near-members"), id_col, "_group")
