@@ -70,22 +70,23 @@ def insert_rows(dump: DataFrame, statement: str) -> DataFrame:
     return found.select("name", columns.alias("columns"), values.alias("values"))
 
 
-def tree_paths(lines: DataFrame, file: str, number: str, line: str, deepest: int = 16) -> DataFrame:
+def tree_paths(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
     """file, number, path for each entry of `tree` output that has none below it.
 
     The depth is the width of the branch marks over four. An ancestor is the last entry of its level that is
-    not older than that of a level above. Entries deeper than deepest hang on that level. A file's lines pass
-    through one ordered window, which Spark streams and spills.
+    not older than that of a level above. The levels that occur are read first, in one aggregate, and each has a
+    column; so depth has no limit. A file's lines pass through one ordered window, which Spark streams and spills.
     """
     marks = F.regexp_extract(line, r"^[│├└─|`\-\s\x{00A0}]*", 0)
-    rows = lines.select(F.col(file).alias("file"), F.col(number).alias("number"), F.least(F.floor(F.length(marks) / 4), F.lit(deepest)).cast("int").alias("depth"), F.rtrim(F.substring(line, F.length(marks) + 1, F.length(line)), F.lit("/ ")).alias("name"))
+    rows = lines.select(F.col(file).alias("file"), F.col(number).alias("number"), F.floor(F.length(marks) / 4).cast("int").alias("depth"), F.rtrim(F.substring(line, F.length(marks) + 1, F.length(line)), F.lit("/ ")).alias("name"))
     rows = rows.where((F.col("name") != "") & ~F.endswith("name", F.lit(":")))
+    levels = sorted(r.depth for r in rows.select("depth").distinct().collect())
     order = Window.partitionBy("file").orderBy("number")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = [F.last(F.when(F.col("depth") == d, F.struct("number", "name")), ignorenulls=True).over(so_far).alias(f"a{d}") for d in range(deepest + 1)]
+    above = [F.last(F.when(F.col("depth") == d, F.struct("number", "name")), ignorenulls=True).over(so_far).alias(f"a{d}") for d in levels]
     placed = rows.select("*", (F.coalesce(F.lead("depth").over(order), F.lit(0)) > F.col("depth")).alias("has_below"), *above)
     parts, newest = [], F.lit(None).cast("long")
-    for d in range(deepest + 1):
+    for d in levels:
         at = F.col(f"a{d}.number").cast("long")
         parts.append(F.when((F.col("depth") >= d) & (newest.isNull() | (at > newest)), F.col(f"a{d}.name")))
         newest = F.greatest(newest, at)

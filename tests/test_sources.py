@@ -28,6 +28,16 @@ def test_shapes_at_the_edges(spark):
     assert dumps.thread_posts(lines.limit(0), "file", "number", "line").count() == 0
 
 
+def test_deep_trees(spark):
+    deep = [(k, "    " * k + "└── d%d" % k) for k in range(20)] + [(20, "    " * 18 + "└── e"), (21, "└── f")]
+    tree = spark.createDataFrame([("t", k, x) for k, x in deep], "file string, number int, line string")
+    above = "/".join(f"d{k}" for k in range(18))
+    want = sorted([f"{above}/d18/d19", f"{above}/e", "f"])
+    got = sorted(r.path for r in dumps.tree_paths(tree, "file", "number", "line").collect())
+    assert got == want
+    assert dumps.tree_paths(tree.limit(0), "file", "number", "line").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     top = str(tmp_path)
     rows = spark.createDataFrame([(1, "a", {"k": ["b"]}), (2, None, None)], "id int, t string, m map<string, array<string>>")
