@@ -8,13 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.shared import written
 
 #: A Python worker adds up counts for so many tokens before it passes them on.
 HOLD = 4_000_000
+#: Texts of so many bytes are counted and scored together.
+CHUNK = 16_000_000
 
 
 @dataclass
@@ -163,17 +168,124 @@ def scored(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
     return texts.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_targets: int = 100_000, **how: float) -> DataFrame:
-    """scored() for docs, with the documents that labels call good (label_col 1) as the target.
+def chunks(texts: DataFrame) -> DataFrame:
+    """chunk, place, id, target, text: texts (id, target, text), as written, in runs of up to CHUNK bytes or one row."""
 
-    Of the good documents the target has those with the most_targets smallest hashes of their ids: a bounded sample of labelled rows,
-    whose ids are broadcast, so that no text is shuffled to meet its label. The background is all documents.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            marks = []
+            for n in pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist():
+                if place and size + n > CHUNK:
+                    chunk, place, size = chunk + 1, 0, 0
+                marks.append((chunk, place))
+                place, size = place + 1, size + n
+            at = np.array(marks, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), *batch.columns], ["chunk", "place", "id", "target", "text"])
+
+    return written(texts.select("id", "target", "text").mapInArrow(run, "chunk long, place long, id long, target boolean, text string"), "lm-texts")
+
+
+class Grams:
+    """The words and word pairs of some texts, each once: hashes, and where each token finds its own."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        parts, own = [words_of(t) for t in texts], {}
+        self.ids = np.fromiter((own.setdefault(w, len(own)) for p in parts for w in p), np.int64)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.firsts = firsts_of(self.sizes)
+        self.words = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
+        pairs, self.pair_at = np.unique((np.roll(self.ids, 1) * len(own) + self.ids)[~self.firsts], return_inverse=True)
+        self.before, self.after = np.divmod(pairs, max(1, len(own)))
+        x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.after] * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.pairs = ((x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)).view(np.int64)
+        self.words = self.words.view(np.int64)
+
+
+def ngram_counts(texts: DataFrame) -> DataFrame:
+    """chunk, is_word, key, target, background: for each word and pair of a chunk its counts in all of texts (from chunks()).
+
+    Each chunk's own counts go to their key in one shuffle; so a key has a row for each chunk at most, however common.
+    Pairs that no other chunk has are left out, as their chunk's own counts are all there are.
+    """
+
+    def counts(chunk: int, texts: list[str | None], targets: list[bool]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(texts)
+        of_target = np.repeat(np.array(targets, float), grams.sizes)
+        for is_word, keys, at, weights in ((True, grams.words, grams.ids, of_target), (False, grams.pairs, grams.pair_at, of_target[~grams.firsts])):
+            n, target = np.bincount(at, minlength=len(keys)), np.bincount(at, weights, minlength=len(keys)).astype(np.int64)
+            for k in range(0, len(keys), 100_000):
+                m = len(keys[k : k + 100_000])
+                columns = [np.full(m, chunk), np.full(m, is_word), keys[k : k + m], target[k : k + m], n[k : k + m]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "is_word", "key", "target", "background"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, targets = None, [], []
+        for batch in batches:
+            for chunk, target, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now and texts:
+                    yield from counts(now, texts, targets)
+                    texts, targets = [], []
+                now = chunk
+                texts.append(text)
+                targets.append(target)
+        if texts:
+            yield from counts(now, texts, targets)
+
+    own = texts.select("chunk", "target", "text").mapInArrow(run, "chunk long, is_word boolean, key long, target long, background long")
+    same = Window.partitionBy("is_word", "key")
+    every = [F.sum(c).over(same).alias(c) for c in ("target", "background")]
+    counted = own.select("chunk", "is_word", "key", F.col("background").alias("own"), *every).where(F.col("is_word") | (F.col("background") > F.col("own")))
+    return written(counted.drop("own"), "lm-ngrams")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", strength: float = 20.0) -> DataFrame:
+    """Columns of scored() for docs, with all documents that labels call good (label_col 1) as the target.
+
+    The background is all documents. Every word and every pair of words has its own counts, over all documents and all
+    good ones, in a table that grows with the corpus: nothing is left out, limited or sent to the driver but three sums.
+    Chunks of documents meet the counts of their own words and pairs by shuffle. Words and pairs are told apart by 64-bit
+    hashes. Pairs are smoothed from single words with a weight of strength counts.
 
     A document is good if the largest of its labels is 1; documents without a label are background only. Without good
-    documents the target model is uniform.
+    documents the target model is uniform. Null or empty text: no tokens, null losses and score. Null or repeated ids:
+    each row has its result. Empty table: empty result. Other columns are ignored.
     """
-    good = labels.groupBy(F.col(id_col).alias("good_id")).agg(F.max(label_col).alias("label")).where("label = 1 AND good_id IS NOT NULL")
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(most_targets).select("good_id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = texts.join(F.broadcast(good), F.col("id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("is_target"))
-    return scored(docs, fit(marked, **how), id_col, text_col)
+    good = labels.groupBy(F.col(id_col).alias("good_id")).agg(F.max(label_col).alias("label")).where("label = 1 AND good_id IS NOT NULL").select("good_id")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = chunks(plain.join(good, F.col("id") == F.col("good_id"), "left").withColumn("target", F.col("good_id").isNotNull()))
+    counted = ngram_counts(texts)
+    words = counted.where("is_word").dropDuplicates(["key"]).agg(F.count("*"), F.sum("target"), F.sum("background")).first()
+    size, totals = words[0] + 1, np.array([[words[1] or 0], [words[2] or 0]], float)
+    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
+
+    def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
+        texts = texts.sort_by("place")
+        grams = Grams(texts["text"].to_pylist())
+        of_target = np.repeat(texts["target"].to_numpy().astype(float), grams.sizes)
+
+        def counts(is_word: bool, keys: np.ndarray, own: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            out = np.stack([np.bincount(own, weights, minlength=len(keys)), np.bincount(own, minlength=len(keys))]).astype(float)
+            some = counted.filter(pc.equal(counted["is_word"], is_word)).sort_by("key")
+            every = some["key"].to_numpy()
+            at = np.searchsorted(every, keys)
+            known = at < len(every)
+            known[known] = every[at[known]] == keys[known]
+            for k, c in enumerate(("target", "background")):
+                out[k, known] = some[c].to_numpy()[at[known]]
+            return out
+
+        word = counts(True, grams.words, grams.ids, of_target)
+        single = (word + 1.0) / (totals + size)
+        follow = (counts(False, grams.pairs, grams.pair_at, of_target[~grams.firsts]) + strength * single[:, grams.after]) / (word[:, grams.before] + strength)
+        losses = np.empty((2, len(grams.ids)))
+        losses[:, grams.firsts] = -np.log(single)[:, grams.ids[grams.firsts]]
+        losses[:, ~grams.firsts] = -np.log(follow)[:, grams.pair_at]
+        sums, ends = np.concatenate([np.zeros((2, 1)), np.cumsum(losses, axis=1)], axis=1), np.cumsum(grams.sizes)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = (sums[:, ends] - sums[:, ends - grams.sizes]) / grams.sizes
+        columns = [pa.array(c, mask=grams.sizes == 0) for c in (mean[0], mean[1], mean[0] - mean[1])]
+        return pa.table([texts["id"], pa.array(grams.sizes), *columns], names)
+
+    met = texts.select("chunk", "place", "id", "target", "text").groupBy("chunk").cogroup(counted.groupBy("chunk"))
+    return met.applyInArrow(score, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

@@ -133,3 +133,18 @@ def test_good_documents_score_lower(spark):
     by = {r.quality: r["avg(score)"] for r in mean.collect()}
     assert by[1] < by[0]
     assert lm_scoring.cross_entropy_difference(docs.limit(0), labels).count() == 0
+
+
+def test_every_ngram_and_every_good_document_counts(spark, monkeypatch):
+    """Rare words and pairs beside common ones, in chunks of a few rows, against plain models."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 40)
+    common = "the word of the day " * 20_000
+    rows = [(0, common, 1), (1, "rare pair here", 1), (2, "rare pair there", 0), (3, None, 1), (4, "", None), (5, "one", 1), (6, "The DAY of rare", None), (None, "here the day", None), (6, "one day", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if q is not None] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    got = sorted(((r.doc_id or -1, r.n_tokens, r.target_loss or 0, r.background_loss or 0) for r in lm_scoring.cross_entropy_difference(docs, labels).collect()))
+    plain = plain_scores([(t, q == 1) for _, t, q in rows], 20.0)
+    want = sorted((i or -1, n, t or 0, b or 0) for (i, _, _), (n, t, b) in zip(rows, plain, strict=True))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w)
