@@ -1,9 +1,12 @@
 import html
+import math
+import random
 import re
+from xml.etree import ElementTree
 
 import pytest
 
-from saltmarsh.llm.html_extract import extracted, main_text
+from saltmarsh.llm.html_extract import Reader, extracted, main_text, path_ratios
 
 LONG = "This is a sentence of the article, with commas, and it goes on for a while. Then it ends."
 
@@ -32,10 +35,72 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article element, no class names: the container tells sibling elements apart
+        (f"<body><div>Home About Contact</div><div>{'<p>' + LONG + '</p>'}{('<p>' + LONG + '</p>') * 9}</div><div>Example Ltd, all rights reserved. 2024.</div></body>", "\n\n".join([LONG] * 10)),
+        (f"<body><div><p>A notice, with a mark. And one more.</p></div><h1>Head</h1><div>{('<p>' + LONG + '</p>') * 5}<p>Short.</p></div><div><p>Promo text, call now.</p></div></body>", "\n\n".join(["Head"] + [LONG] * 5 + ["Short."])),
+        # menus and link lists without names, outside and inside the article
+        (f"<body><div class=boxy>{''.join(f'<div><a href=x>Link number {k}, a title</a></div>' for k in range(15))}</div><div class=zz><h2>T</h2>{('<p>' + LONG + '</p>') * 3}</div></body>", "\n\n".join(["T"] + [LONG] * 3)),
+        (f"<article><h1>Head</h1>{('<p>' + LONG + '</p>') * 3}<div><ul>{'<li><a href=x>More to read, today.</a></li>' * 5}</ul></div></article>", "\n\n".join(["Head"] + [LONG] * 3)),
+        # words of class names only weigh, so an article named like surroundings stays
+        (f"<body><ul><li><a href=x>Menu</a></ul><div class='legal-news share-price'>{('<p>' + LONG + '</p>') * 3}</div></body>", "\n\n".join([LONG] * 3)),
+        # a paragraph that is all link, among others
+        (f"<article>{('<p>' + LONG + '</p>') * 3}<p><a href=x>See here.</a></p></article>", "\n\n".join([LONG] * 3 + ["See here."])),
+        # what is hidden stays hidden: below many open inline elements, and past blocks within
+        (f"<article><p>{LONG}</p><span hidden>{'<b>' * 300}secret</span></article>", LONG),
+        (f"<article><p>{LONG}</p><span class='ad'><div>Buy one</div> Buy now</span></article>", LONG),
+        (f"<article><p>{LONG}</p><span hidden><p>x</p>y<p>z</p></span><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_paths_decide(page, text):
+    assert main_text(page) == text
+
+
+def plain_ratios(page):
+    """Fused ratios of a well-formed page's paths, from an XML tree, path by path."""
+    found = {}
+
+    def walk(element, path):
+        path = (*path, element.tag)
+        text = " ".join("".join(element.itertext()).split()) if not len(element) or element[0].tag == "a" else ""
+        if text:
+            links = "".join("".join("".join(a.itertext()).split()) for a in element.iter("a"))
+            found.setdefault(path, []).append((len(text), len(re.findall("[,.;:!?]", text)), len(links)))
+            return
+        for child in element:
+            walk(child, path)
+
+    walk(ElementTree.fromstring(page), ())
+    own, keep = [], []
+    for blocks in found.values():
+        chars, marks, links = (sum(x) / len(blocks) for x in zip(*blocks))
+        keep.append((1 - links / chars) ** 2)
+        own.append(chars / (chars + 40) * (marks + 0.2) / (marks + 1) * keep[-1])
+    out = {}
+    for k, path in enumerate(found):
+        bell = {j: math.exp(-((j - k) ** 2) / 2) for j in range(len(own)) if abs(j - k) <= 2}
+        out[path] = (own[k] + keep[k] * sum(own[j] * w for j, w in bell.items()) / sum(bell.values())) / 2
+    return list(out.values())
+
+
+def test_ratios_against_a_tree():
+    rng = random.Random(5)
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            text = " ".join(rng.choice(["word", "more,", "end.", "x"]) for _ in range(rng.randrange(1, 30)))
+            parts.append(rng.choice([f"<p>{text}</p>", f"<ul><li><a>{text}</a></li><li>{text}</li></ul>", f"<h1>{text}</h1>", f"<section><p>{text}</p></section>"]))
+        page = f"<body>{''.join(parts)}</body>"
+        assert list(path_ratios(Reader().read(page).blocks).values()) == pytest.approx(plain_ratios(page))
+
+
 def test_long_and_deep_pages():
     assert main_text("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>").count(LONG) == 20_000
     assert LONG in main_text("<div>" * 500 + LONG)
     assert main_text("<b>" * 5000 + "x < y <3 & z") == "x < y <3 & z"
+    assert main_text("<i>" + "<b>" * 50_000 + LONG + "</i>" * 50_000 + "</p>" * 50_000) == LONG
 
 
 def test_whole_table(spark):
