@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.shared import SPACE, written
+from saltmarsh.llm.shared import SPACE, shared_apart, written
 
 #: What ends a line of a page when its markup is dropped (fixed list of block elements).
 BLOCKS = "address|article|aside|blockquote|body|br|button|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|th|thead|title|tr|ul"
@@ -36,38 +36,40 @@ def drop_site_lines(
     host: Column,
     lines: Column,
     max_ratio: float = 0.3,
-    min_pages: int = 5,
 ) -> DataFrame:
     """key, host, text, n_lines, n_dropped for each row: lines frequent within their host are dropped.
 
     A line is boilerplate if the pages of a host that contain it, over all pages of that host, exceed
-    max_ratio, and at least min_pages contain it (a site of a few pages shows no pattern).
+    max_ratio, and if it is on two pages at least (a line of one page repeats nothing).
 
-    Lines are shuffled as two 64-bit hashes; pages per line and per host are combined before their
-    shuffle, so a host or a line with a third of all rows adds no more than a row per task. What is left
-    of that, the frequent lines, is at most the lines of a page / max_ratio for each host. Only the hashes
-    of a page's dropped lines return to it.
+    Pages are parsed once and written as lines. Those are shuffled as two 64-bit hashes; pages per line and per
+    host are combined before their shuffle. Hosts with a large share of all pages, and lines with a large share of
+    all lines, are few and are joined by broadcast; all others by shuffle. So no host or line stays in one task,
+    whatever its share. Only the hashes of a page's dropped lines return to it.
 
     Null or empty lines: empty text. Null host: pages without a host form one site named "". Null or
     repeated keys: every row counts as a page and has its own result. Empty table: empty result.
     Other columns are ignored.
     """
-    pages = rows.select(F.col(key).alias("key"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2")))
-    marks = written(pages.select("key", "host", hashed.alias("hashes")), "line-marks")
-    totals = marks.groupBy("host").agg(F.count("*").alias("pages"))
-    once = marks.select("host", F.explode(F.array_distinct("hashes")).alias("h"))
-    often = (
-        once.groupBy("host", "h").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= min_pages)
-        .join(totals, "host")
-        .where(F.col("with_line") > max_ratio * F.col("pages"))
-        .select("host", "h")
+    parsed = rows.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(key).alias("key"),
+        F.coalesce(host, F.lit("")).alias("host"),
+        F.coalesce(lines, F.array().cast("array<string>")).alias("lines"),
     )
-    hits = marks.select("key", "host", F.explode("hashes").alias("h")).join(often, ["host", "h"], "left_semi")
-    dropped = hits.groupBy(F.col("key").alias("of"), F.col("host").alias("of_host")).agg(F.collect_set("h").alias("dropped"))
-    found = pages.join(dropped, F.col("key").eqNullSafe(F.col("of")) & (F.col("host") == F.col("of_host")), "left")
-    is_dropped = lambda x: F.array_contains(F.coalesce(F.col("dropped"), F.array().cast("array<struct<h1:bigint,h2:bigint>>")), F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2")))
-    left = F.filter("lines", lambda x: ~is_dropped(x))
+    pages = written(parsed, "line-pages")
+    both = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"))
+    marks = pages.select("row", "host", F.explode(F.array_distinct(F.transform("lines", both))).alias("h"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = marks.groupBy("host", "h").agg(F.count("*").alias("with_line"))
+    often = shared_apart(counted.where("with_line > 1"), totals, ["host"], "pages", pages.count(), "inner")
+    often = written(often.where(F.col("with_line") > max_ratio * F.col("pages")).select("host", "h", "with_line"), "line-often")
+    # A line on over a share of all pages counts as large: its share of all lines is less, as pages have several.
+    hits = shared_apart(marks, often, ["host", "h"], "with_line", pages.count(), "left_semi")
+    dropped = hits.groupBy("row").agg(F.collect_list("h").alias("dropped"))
+    found = pages.join(dropped, "row", "left")
+    none = F.array().cast("array<struct<h1:bigint,h2:bigint>>")
+    left = F.filter("lines", lambda x: ~F.array_contains(F.coalesce(F.col("dropped"), none), both(x)))
     return found.select(
         F.col("key").alias(key),
         "host",

@@ -146,7 +146,7 @@ WITH bare AS (
 ), totals AS (SELECT host, count(*) AS pages FROM lined GROUP BY host
 ), often AS (
     SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lined) JOIN totals USING (host)
-    GROUP BY host, line, pages HAVING count(*) >= 5 AND count(*) > 0.3 * pages
+    GROUP BY host, line, pages HAVING count(*) >= 2 AND count(*) > 0.3 * pages
 ), gone AS (SELECT host, list(line) AS gone FROM often GROUP BY host
 ), kept AS (
     SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS left_over
