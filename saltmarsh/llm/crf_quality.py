@@ -171,10 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A CRF from a bounded sample of labelled documents: those with the most_texts smallest hashes of their
     ids, and their first most_lines lines each. Only line features reach the driver.
 
-    Labels that are null are no labels; of several for a document the smallest holds. Without labels of both kinds every line
+    Labels that are null are no labels; of several for a document the smallest holds, and of several
+    texts with one id one counts, so that no more than most_texts rows reach the driver. Without labels of both kinds every line
     counts as content.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(most_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lines = [text_lines((t.as_py() or "").encode())[0][:most_lines] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["id", "label", "lines"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(run, "id long, label int, lines array<long>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["lines"]))
-    rows = rows[:most_texts]
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(run, "id string, label int, lines array<long>")
+    rows = found.groupBy("id", "label").agg(F.min("lines").alias("lines")).toArrow().to_pylist()
+    rows.sort(key=lambda r: r["id"])
     return train([r["lines"] for r in rows], [r["label"] for r in rows])
 
 
@@ -217,7 +218,8 @@ def judged(
     repeated windows of three. Others are kept if lines that Viterbi decoding labels content hold
     min_share of their words or more. Works row by row, on whole texts, without a shuffle.
 
-    Null or empty text: no words, failed; content_share is null without words. Null or repeated ids: each row has its result.
+    Null or empty text: no words, failed; content_share is null without words. Null or repeated ids: each row has its result;
+    ids keep their type.
     Empty table: empty result. Other columns are ignored.
     """
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "content_share"]
@@ -229,8 +231,8 @@ def judged(
             columns = [batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_share double"
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_share double"
     return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

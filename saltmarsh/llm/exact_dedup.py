@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.shared import SPACE, first_rows, keyed, text_or_empty, written
+from saltmarsh.llm.shared import SPACE, keyed, shared_apart, text_or_empty, written
+
+#: Open lengths, and open prefix hashes, are broadcast as so many numbers at most, however many there are.
+BUCKETS = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -13,6 +16,39 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE, " ")
 
 
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _open(rows: DataFrame, *columns: str) -> DataFrame:
+    """Buckets of the values of columns that two rows or more share."""
+    return F.broadcast(rows.groupBy(*columns).count().where("count > 1").select(_bucket(*columns).alias("bucket"), F.lit(True).alias("open")).distinct())
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, row: Column, prefix_chars: int, with_digest: bool) -> DataFrame:
+    """row, id, keep_id, group_size, kept and digest (null where no full text was read) for each row of docs."""
+    norm = docs.select(row.alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    texts = norm.select("*", F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
+    sizes = written(texts.select("len", "prefix"), "exact-sizes")
+    by_length = sizes.withColumn("bucket", _bucket("len")).join(_open(sizes, "len"), "bucket", "left_semi")
+    by_prefix = _open(by_length, "len", "prefix")
+
+    marked = texts.withColumn("bucket", _bucket("len", "prefix")).join(by_prefix, "bucket", "left")
+    is_open = F.coalesce("open", F.lit(False))
+    read = F.lit(True) if with_digest else is_open
+    rows = written(marked.select("row", "id", is_open.alias("open"), F.when(read, F.unhex(F.sha2("norm", 256))).alias("digest")), "exact-rows")
+
+    still = rows.where("open").drop("open")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    groups = written(still.groupBy("digest").agg(F.count("*").alias("n"), first).where("n > 1"), "exact-groups")
+    placed = shared_apart(still, groups, ["digest"], "n", rows.count())
+    kept = F.coalesce(F.col("row") == F.col("first.row"), F.lit(True))
+    keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    met = placed.select("row", "id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), kept.alias("kept"), "digest")
+    alone = rows.where("not open").select("row", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return alone.unionByName(met)
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -25,57 +61,31 @@ def exact_groups(
     Texts are equal if they are identical once white space is collapsed. The row with the smallest id of
     equal texts is kept.
 
-    Only lengths and prefix hashes of all rows are shuffled. Rows alone with their length, or with their
-    length and prefix hash, are settled by that; only the rest have their full content read and hashed. All counts are
-    combined before their shuffle, and no shuffle holds the texts of a group together, so that a group of
-    any size costs no more than as many single rows. Joins back to the rows can be split by Spark's
-    handling of skew.
+    Rows are first told apart by length, those that share one by the hash of their prefix, and only those that share
+    both have their full text hashed (all have with with_digest, which asks for it). No text is shuffled:
+    what is open is broadcast as BUCKETS numbers at most, and the hash is taken where the text is read. A bucket
+    that also holds a settled row costs that row a hash and changes no result. Counts are combined before their
+    shuffle, and groups with a large share of all rows are joined by broadcast, as there are few; so a length,
+    prefix or group with a third of all rows stays in no one task.
 
     Null text: empty, so that null and empty texts form one group. Null id: never the smallest unless the
-    whole group has none; then no row of the group is kept by id, and the first is kept. Rows repeated
-    with the same id: each has its own result; one of them is kept at most. Empty table: empty result.
+    whole group has none; then keep_id is null and one row is kept. Rows repeated with the same id: each has its own
+    result; one of them is kept at most. Ids may have any type that has an order. Empty table: empty result.
     Other columns of docs are ignored, whatever their names.
     """
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    digest = [F.unhex(F.sha2("norm", 256)).alias("digest")] if with_digest else []
-    rows = written(
-        texts.select("id", F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), *digest),
-        "exact-rows",
-    )
-    lengths = rows.groupBy("len").count().where("count > 1").select("len")
-    by_length = rows.join(lengths, "len", "left_semi")
-    prefixes = by_length.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix")
-    open_ids = written(by_length.join(prefixes, ["len", "prefix"], "left_semi").select("id").distinct(), "exact-open")
-
-    marked = open_ids.select(F.col("id").alias("open_id"))
-    same_id = F.col("id").eqNullSafe(F.col("open_id"))
-    full = (
-        texts.join(marked, same_id, "left_semi")
-        .select("id", F.unhex(F.sha2("norm", 256)).alias("digest"))
-        .groupBy("id", "digest")
-        .agg(F.count("*").alias("copies"))
-    )
-    full = written(full, "exact-full")
-    groups = full.groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    copies = (
-        full.join(groups, "digest")
-        .select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        .select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
-    )
-    alone = rows.join(marked, same_id, "left_anti").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *(["digest"] if with_digest else [])
-    )
-    result = alone.unionByName(copies.select(*alone.columns))
+    found = _groups(docs, id_col, text_col, F.monotonically_increasing_id(), prefix_chars, with_digest)
     out = [F.col("id").alias(id_col), "keep_id", "group_size", "kept"]
-    return result.select(*out, *([F.lower(F.hex("digest")).alias("text_sha256")] if with_digest else []))
+    return found.select(*out, *([F.lower(F.hex("digest")).alias("text_sha256")] if with_digest else []))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all its columns: that with the smallest id.
 
     Rows are told apart by a number of their own, so ids may be null (never the smallest, unless the whole group
-    has none) and repeated, with the same or with other texts.
+    has none), of any ordered type and repeated, with the same or with other texts. Columns may have any names.
+    Empty table: empty result.
     """
-    rows = keyed(docs, "exact-keyed")
-    members = exact_groups(rows, "_row", text_col).where("group_size > 1").select("_row", F.col("keep_id").alias("_group"))
-    return first_rows(rows, written(members, "exact-members"), id_col, "_group")
+    rows, row = keyed(docs, "exact-keyed")
+    found = _groups(rows, id_col, text_col, F.col(row), 256, False)
+    gone = written(found.where("not kept").select(F.col("row").alias(row)), "exact-gone")
+    return rows.join(gone, row, "left_anti").drop(row)

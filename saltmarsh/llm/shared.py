@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: A word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with over a KEYS-th of all rows are joined by broadcast: there are fewer than KEYS of them.
+KEYS = 1024
 
 
 @lru_cache(maxsize=1)
@@ -42,17 +44,39 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def first_rows(rows: DataFrame, members: DataFrame, id_col: str, group_col: str) -> DataFrame:
-    """rows without those of members (_row, group_col) that are not the first of their group, and without _row.
+def row_name(df: DataFrame) -> str:
+    """A name for a row number that no column of df has."""
+    name, taken = "_row", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-    The first of a group has the smallest id, nulls last; of equal ids the smallest _row. Each row of rows has its own _row.
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written with a number of its own for each row, and the name of that column."""
+    row = row_name(docs)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def first_rows(rows: DataFrame, row: str, members: DataFrame, id_col: str) -> DataFrame:
+    """rows without those of members (row, group) that are not the first of their group, and without the column row.
+
+    The first of a group has the smallest id, nulls last; of equal ids the smallest row number.
     """
-    placed = members.join(rows.select("_row", F.col(id_col).alias("_id")), "_row")
-    first = placed.groupBy(group_col).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    others = placed.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti")
-    return rows.join(others, "_row", "left_anti").drop("_row")
+    placed = members.join(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")), "row")
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    others = placed.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    return rows.join(others.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+
 
+def shared_apart(rows: DataFrame, keys: DataFrame, on: list[str], size_col: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined to keys on their columns on, with no key's rows in one task: keys is one row a key, size_col its number of rows.
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs, written with a number of its own for each row in _row."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    Keys with over a KEYS-th of total rows are fewer than KEYS; they are broadcast. The others meet by shuffle.
+    how: left, inner or left_semi.
+    """
+    heavy = keys.where(F.col(size_col) > total / KEYS)
+    light = keys.where(F.col(size_col) <= total / KEYS)
+    apart = rows.join(F.broadcast(heavy), on, "left_semi" if how == "left_semi" else "inner")
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    return apart.unionByName(rest)

@@ -215,6 +215,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by a number of their own, so ids may be null (never the smallest, unless the whole group
     has none) and repeated, with the same or with other texts.
     """
-    rows = keyed(docs, "near-keyed")
-    members = near_groups(rows, "_row", text_col).select("_row", F.col("component_id").alias("_group"))
-    return first_rows(rows, written(members, "near-members"), id_col, "_group")
+    rows, row = keyed(docs, "near-keyed")
+    members = near_groups(rows, row, text_col).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    return first_rows(rows, row, written(members, "near-members"), id_col)

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saltmarsh.llm import chat_format, exact_dedup, line_dedup, queries, sharding, simhash
+from saltmarsh.llm import chat_format, exact_dedup, line_dedup, queries, shared, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +35,30 @@ def test_exact_groups(spark):
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs, with_digest=True).collect())
     assert got == want
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs.where("doc_id <> 2 and doc_id is not null")).collect()) == [1, 3, 4, 6, 8, 9]
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()) == [1, 2, 3, 6, 8, 9]
+
+
+def test_exact_groups_plan_and_hot_groups(spark, monkeypatch):
+    """No text is shuffled, also where nothing small is broadcast of itself; groups of every share give the same rows."""
+    texts = ["same"] * 400 + ["other"] * 3 + [f"text {k}" for k in range(50)] + ["y" * 300 + str(k % 7) for k in range(30)]
+    docs = spark.createDataFrame([(f"x{k:04}", t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    want = {}
+    for k, t in enumerate(texts):
+        want[f"x{k:04}"] = (f"x{texts.index(t):04}", texts.count(t), texts.index(t) == k)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (1024, 2, 1):
+            monkeypatch.setattr("saltmarsh.llm.shared.KEYS", keys)
+            found = exact_dedup.exact_groups(docs)
+            assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == want
+        plans = []
+        monkeypatch.setattr(exact_dedup, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or shared.written(df, name))
+        exact_dedup.exact_groups(docs).collect()
+        rows = next(p for p in plans if "sha2" in p).split("== Physical Plan ==")[1]
+        assert "BroadcastHashJoin" in rows and "norm" not in "".join(re.findall(r"Exchange hashpartitioning.*", rows)) and "SortMergeJoin" not in rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def plain_flow(homes, owners, room):
@@ -114,11 +138,29 @@ def test_site_lines(spark):
     for r in got:
         by[r.page_id].append((r.host, r.text, r.n_lines, r.n_dropped))
     assert by[7] == [("a.example", "Body 7", 3, 2)]  # Home is on 10 of 11 pages, Body 1 on 5
-    assert by[102] == [("b.example", "Home", 1, 0)]  # four pages show no pattern
+    assert by[102] == [("b.example", "", 1, 1)]  # on all four pages
     assert by[None] == [("", "", 0, 0)] and ("a.example", "x &lt; y", 1, 0) in by[1]
     assert line_dedup.drop_site_lines(pages.limit(0), "page_id", F.col("url"), F.array("html")).count() == 0
 
 
+@pytest.mark.parametrize("keys", [1024, 4, 1])
+def test_site_lines_of_hot_hosts(spark, monkeypatch, keys):
+    """The same rows whichever hosts and lines are joined by broadcast; hosts of one, two and many pages."""
+    monkeypatch.setattr("saltmarsh.llm.shared.KEYS", keys)
+    rows = [(k, "hot", ["menu", f"own {k}", f"some {k % 9}"]) for k in range(200)] + [(1, "two", ["a", "b"]), (1, "two", ["a", "c", "a"]), (2, "one", ["a", "a"]), (None, None, ["z"])]
+    rows += [(k, f"h{k % 20}", ["foot", f"l{k % 40}"]) for k in range(80)]
+    pages = spark.createDataFrame(rows, "key long, site string, of array<string>")
+    count, total = Counter(), Counter(h or "" for _, h, _ in rows)
+    for _, h, lines in rows:
+        count.update((h or "", x) for x in set(lines))
+    want = []
+    for k, h, lines in rows:
+        left = [x for x in lines if count[h or "", x] < 2 or count[h or "", x] <= 0.3 * total[h or ""]]
+        want.append((k or -1, h or "", "\n".join(left), len(lines), len(lines) - len(left)))
+    got = line_dedup.drop_site_lines(pages, "key", F.col("site"), F.col("of")).collect()
+    assert sorted((r.key or -1, r.host, r.text, r.n_lines, r.n_dropped) for r in got) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for (name, stage), op in zip(corpus_pipeline.STAGES[:-1], ("op1_crf_line_quality", None, None), strict=True):

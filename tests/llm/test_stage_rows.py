@@ -27,3 +27,16 @@ def test_quality_by_row(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = crf_quality.drop_low_quality(spark.createDataFrame(rows, SCHEMA), labels)
     assert kept(got) == sorted([(None, good, "a"), (3, good, "b"), (4, good, "d"), (4, good, "d")], key=str)
+
+
+def test_clashing_columns_and_text_ids(spark):
+    """Stages keep columns of any name, and rows with ids that are no numbers."""
+    schema = "doc_id string, text string, _row long, _row_ string, _kept_id int, _first_id int, id long, row long, `group` string, digest string, open boolean, n int"
+    rows = [(f"x{k}", t, k, "a", 1, 2, 3, 4, "g", "d", True, 5) for k, t in enumerate([ONE, ONE, TWO, THREE, None, ""])]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect()), key=str) == [rows[0], *rows[2:5]]
+    labels = spark.createDataFrame([("x0", 1)], "doc_id string, quality int")
+    assert crf_quality.drop_low_quality(docs, labels).columns == docs.columns
