@@ -1,291 +1,243 @@
-"""Cross-entropy difference of two n-gram models, one of target texts and one of all texts."""
+"""Cross-entropy difference of two bigram models, one of target texts and one of all texts."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.llm.byte_bpe import squeezed_ranks, widened_ranks
 from saltmarsh.llm.shared import written
 
-#: A Python worker adds up counts for so many tokens before it passes them on.
-HOLD = 4_000_000
-#: Texts of so many bytes are counted and scored together.
-CHUNK = 16_000_000
-
-
-@dataclass
-class Models:
-    """Bigram models of the target and the background over one vocabulary; word 0 is any other word.
-
-    words: number of each word; totals: counts of words, of shape (2, words), target first;
-    pairs: sorted keys (word before * words + word), and their counts, of shape (2, pairs).
-    """
-
-    words: dict[bytes, int]
-    totals: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    strength: float
-
-    def losses(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Loss of each token in nats under both models, shape (2, tokens); firsts marks a text's first tokens."""
-        size = self.totals.shape[1]
-        single = (self.totals + 1.0) / (self.totals.sum(axis=1, keepdims=True) + size)
-        before = np.roll(ids, 1)
-        key = before * size + ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        known = (self.pairs[at] == key) if len(self.pairs) else np.zeros(len(key), bool)
-        pair = np.where(known, self.pair_counts[:, at], 0) if len(self.pairs) else np.zeros((2, len(key)))
-        follow = (pair + self.strength * single[:, ids]) / (self.totals[:, before] + self.strength)
-        return -np.log(np.where(firsts, single[:, ids], follow))
+#: Texts of so many bytes, or so many texts, make a block.
+BLOCK_BYTES, BLOCK_TEXTS = 8_000_000, 100_000
+#: Counts of so many tokens' words and pairs are added up together, in one bucket.
+BUCKET_TOKENS = 3_000_000
+#: Most buckets: a block of full size still sends each some twenty counts, so rows stay few beside what they hold.
+MOST_BUCKETS = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """Runs of other characters than ASCII white space, ASCII letters in lower case."""
     return (text or "").encode().lower().split()
 
 
-def numbered(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of all texts in a row, and how many words each text has."""
-    parts = [words_of(t) for t in texts]
-    ids = np.fromiter((words.get(w, 0) for p in parts for w in p), np.int64)
-    return ids, np.fromiter(map(len, parts), np.int64, len(parts))
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Texts (id, text) as numbers of words: a row a block with its ids, words in each text, and the distinct words' hashes."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    names = ["block", "ids", "sizes", "words", "stream", "tokens"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, stream, numbers = [], [], [], {}
+
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            places = np.concatenate(stream)
+            often = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in numbers), np.uint64, len(numbers))[often]
+            row = [block, ids, squeezed_ranks(np.array(sizes, np.uint32)), hashes.tobytes(), squeezed_ranks(rank[places].astype(np.uint32)), len(places)]
+            types = [pa.int64(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                ids.append(doc_id)
+                sizes.append(len(words))
+                stream.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)).astype(np.uint32))
+                held += sum(map(len, words)) + len(words)
+                if held >= BLOCK_BYTES or len(ids) >= BLOCK_TEXTS:
+                    yield out(kind)
+                    block, held = block + 1, 0
+                    ids, sizes, stream, numbers = [], [], [], {}
+        if ids:
+            yield out(kind)
 
-def firsts_of(sizes: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(sizes.sum()), bool)
-    starts = np.cumsum(sizes) - sizes
-    out[starts[sizes > 0]] = True
-    return out
+    return texts.mapInArrow(run, f"block long, ids array<{id_type}>, sizes binary, words binary, stream binary, tokens long")
 
 
-def fit(docs: DataFrame, text_col: str = "text", target_col: str = "is_target", word_share: float = 2e-5, pair_share: float = 2e-6, strength: float = 20.0) -> Models:
-    """Models from all rows of docs (the background) and those with target_col true (the target).
+class Grams:
+    """The words and word pairs of a block, each once: hashes, buckets, and where each token finds its own."""
+
+    def __init__(self, sizes: bytes, words: bytes, stream: bytes, buckets: int, places: bool = False) -> None:
+        self.sizes, self.ids = widened_ranks(sizes).astype(np.int64), widened_ranks(stream).astype(np.int64)
+        self.words = np.frombuffer(words, np.uint64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.firsts = np.zeros(len(self.ids), bool)
+        self.firsts[starts[self.sizes > 0]] = True
+        n = max(1, len(self.words))
+        self.keys = (np.roll(self.ids, 1) * n + self.ids)[~self.firsts]
+        if places:
+            pairs, self.pair_at = np.unique(self.keys, return_inverse=True)
+        else:
+            pairs, self.pair_n = np.unique(self.keys, return_counts=True)
+        self.coded, (self.before, self.after) = pairs, np.divmod(pairs, n)
+        x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.after] * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.pairs = (x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
+        self.word_bucket, self.pair_bucket = self.words % np.uint64(buckets), self.pairs % np.uint64(buckets)
+        self.word_order, self.pair_order = np.argsort(self.word_bucket, kind="stable"), np.argsort(self.pair_bucket, kind="stable")
 
-    The vocabulary is each word with word_share of all words or more, so 1 / word_share words at most,
-    however large the corpus; all other words count as one. Likewise pairs of words with pair_share of
-    all pairs or more have counts of their own; others are smoothed from single words, with a weight of strength
-    counts. Counts cover all rows: tasks combine theirs, and what is shuffled grows with the corpus. Only the words and
-    pairs above the shares reach the driver.
-    """
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(every), pa.binary()), pa.array([target[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())],
-                ["word", "target", "background"],
-            )
+_SENT = ["block", "bucket", "words", "keys", "target", "background"]
 
-        every, target = Counter(), Counter()
-        for batch in batches:
-            for text, is_target in zip(*batch.columns, strict=True):
-                words = words_of(text.as_py())
-                every.update(words)
-                if is_target.as_py():
-                    target.update(words)
-                if len(every) > 500_000:
-                    yield out()
-                    every, target = Counter(), Counter()
-        yield out()
-
-    counted = texts.mapInArrow(count_words, "word binary, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    counted = written(counted.where("background > 0"), "word-counts")
-    all_target, all_background = (x or 0 for x in counted.agg(F.sum("target"), F.sum("background")).first())
-    rows = counted.where(F.col("background") >= word_share * all_background).toArrow()
-    found = sorted(zip(rows["word"].to_pylist(), rows["target"].to_pylist(), rows["background"].to_pylist(), strict=True))
-    words = {w: k for k, (w, _, _) in enumerate(found, 1)}
-    size = len(words) + 1
-    totals = np.zeros((2, size))
-    if found:
-        totals[:, 1:] = np.array([[t for _, t, _ in found], [b for _, _, b in found]])
-        totals[:, 0] = all_target - totals[0].sum(), all_background - totals[1].sum()
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list, of_target: list) -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_inverse=True)
-            every = np.bincount(at, minlength=len(keys))
-            target = np.bincount(at, weights=np.concatenate([*of_target, np.zeros(0)]), minlength=len(keys))
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(target.astype(np.int64)), pa.array(every.astype(np.int64))], ["pair", "target", "background"])
-
-        held, of_target, n = [], [], 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                ids, sizes = numbered(some.column(0).to_pylist(), shared.value)
-                follows = ~firsts_of(sizes)
-                held.append((np.roll(ids, 1) * size + ids)[follows])
-                of_target.append(np.repeat(np.array(some.column(1).to_pylist(), float), sizes)[follows])
-                n += len(ids)
-                if n > HOLD:
-                    yield out(held, of_target)
-                    held, of_target, n = [], [], 0
-        yield out(held, of_target)
-
-    pairs = texts.mapInArrow(count_pairs, "pair long, target long, background long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    least = max(1.0, pair_share * totals[1].sum())
-    kept = pairs.where(F.col("background") >= least).toArrow().sort_by("pair")
-    counts = np.stack([kept["target"].to_numpy(), kept["background"].to_numpy()]).astype(float).reshape(2, -1)
-    return Models(words, totals, kept["pair"].to_numpy(), counts, strength)
-
-
-def scored(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, target_loss, background_loss, score for each row; losses are means over tokens, in nats.
-
-    score is the mean of each token's loss under the target model less its loss under the background:
-    the lower, the more a text is like the target. The models are broadcast; their size is bounded by the shares that fit() was given.
-
-    Null or empty text: no tokens, null losses and score. Null or repeated ids: each row has its result. Empty table: empty result.
-    Other columns are ignored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
+
+def _own_counts(marked: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket a row with the hashes of the block's words (words of them), then pairs, and their counts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                ids, sizes = numbered(some.column(1).to_pylist(), shared.value.words)
-                losses = shared.value.losses(ids, firsts_of(sizes))
-                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(losses, axis=1)], axis=1)
-                ends = np.cumsum(sizes)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = (sums[:, ends] - sums[:, ends - sizes]) / sizes
-                columns = [mean[0], mean[1], mean[0] - mean[1]]
-                none = sizes == 0
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), *(pa.array(c, mask=none) for c in columns)], names)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-
-
-def chunks(texts: DataFrame) -> DataFrame:
-    """chunk, place, id, target, text: texts (id, target, text), as written, in runs of up to CHUNK bytes or one row."""
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                grams = Grams(row["sizes"], row["words"], row["stream"], buckets)
+                good = np.zeros(len(grams.sizes), bool)
+                good[row["good"] or []] = True
+                of_target = np.repeat(good, grams.sizes)
+                size = len(grams.words)
+                word_n = np.bincount(grams.ids, minlength=size), np.bincount(grams.ids[of_target], minlength=size)
+                coded, n = np.unique(grams.keys[of_target[~grams.firsts]], return_counts=True)
+                pair_target = np.zeros(len(grams.pairs), np.int64)
+                pair_target[np.searchsorted(grams.coded, coded)] = n
+                counts = ((grams.words, *word_n, grams.word_order, grams.word_bucket), (grams.pairs, grams.pair_n, pair_target, grams.pair_order, grams.pair_bucket))
+                cuts = [np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)) for _, _, _, order, bucket in counts]
+                for b in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
+                    at = [order[c[b] : c[b + 1]] for (_, _, _, order, _), c in zip(counts, cuts, strict=True)]
+                    keys, every, target = (np.concatenate([x[k][a] for x, a in zip(counts, at, strict=True)]) for k in range(3))
+                    values = [row["block"], b, len(at[0]), keys.tobytes(), squeezed_ranks(target.astype(np.uint32)), squeezed_ranks(every.astype(np.uint32))]
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _SENT)
+
+    return marked.select("block", "sizes", "words", "stream", "good").mapInArrow(run, "block long, bucket int, words int, keys binary, target binary, background binary")
+
+
+_GIVEN = ["block", "bucket", "words", "target", "background", "totals"]
+_GIVEN_SCHEMA = "block long, bucket int, words int, target binary, background binary, totals array<long>"
+
+
+def _all_counts(own: DataFrame, partitions: int) -> DataFrame:
+    """The rows of own with counts over all blocks in place of the block's own, without the hashes; totals of each bucket's words apart."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
+    def add_up(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        splits = [r["words"] for r in rows]
+        own_counts = {c: [widened_ranks(r[c]) for r in rows] for c in ("target", "background")}
+        given, totals = {c: [[], []] for c in own_counts}, [0, 0, 0]
+        for part in (0, 1):
+            cut = [slice(None, s) if part == 0 else slice(s, None) for s in splits]
+            every, at = np.unique(np.concatenate([k[c] for k, c in zip(keys, cut, strict=True)]), return_inverse=True)
+            ends = np.cumsum([len(k[c]) for k, c in zip(keys, cut, strict=True)])[:-1]
+            for k, (name, counts) in enumerate(own_counts.items()):
+                total = np.bincount(at, np.concatenate([n[c] for n, c in zip(counts, cut, strict=True)]), minlength=len(every))
+                given[name][part] = np.split(total.astype(np.int64)[at], ends)
+                if part == 0:
+                    totals[k] = int(total.sum())
+            if part == 0:
+                totals[2] = len(every)
+        for k, r in enumerate(rows):
+            packed = {c: np.concatenate([given[c][0][k], given[c][1][k]]).astype("<i8") for c in own_counts}
+            values = [r["block"], r["bucket"], r["words"], *(_wide(packed[c]) for c in ("target", "background")), totals if k == 0 else None]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _GIVEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
+        rows: list[dict] = []
         for batch in batches:
-            marks = []
-            for n in pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist():
-                if place and size + n > CHUNK:
-                    chunk, place, size = chunk + 1, 0, 0
-                marks.append((chunk, place))
-                place, size = place + 1, size + n
-            at = np.array(marks, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), *batch.columns], ["chunk", "place", "id", "target", "text"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if rows and rows[0]["bucket"] != row["bucket"]:
+                    yield from add_up(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from add_up(rows)
 
-    return written(texts.select("id", "target", "text").mapInArrow(run, "chunk long, place long, id long, target boolean, text string"), "lm-texts")
+    return own.repartition(partitions, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _GIVEN_SCHEMA)
 
 
-class Grams:
-    """The words and word pairs of some texts, each once: hashes, and where each token finds its own."""
-
-    def __init__(self, texts: list[str | None]) -> None:
-        parts, own = [words_of(t) for t in texts], {}
-        self.ids = np.fromiter((own.setdefault(w, len(own)) for p in parts for w in p), np.int64)
-        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.firsts = firsts_of(self.sizes)
-        self.words = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
-        pairs, self.pair_at = np.unique((np.roll(self.ids, 1) * len(own) + self.ids)[~self.firsts], return_inverse=True)
-        self.before, self.after = np.divmod(pairs, max(1, len(own)))
-        x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.after] * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.pairs = ((x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)).view(np.int64)
-        self.words = self.words.view(np.int64)
+def _wide(values: np.ndarray) -> bytes:
+    """Counts that may pass 32 bits: the low and the high half, each with small numbers in a byte."""
+    low, high = squeezed_ranks((values & 0xFFFFFFFF).astype(np.uint32)), squeezed_ranks((values >> 32).astype(np.uint32))
+    return len(low).to_bytes(8, "little") + low + high
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """chunk, is_word, key, target, background: for each word and pair of a chunk its counts in all of texts (from chunks()).
-
-    Each chunk's own counts go to their key in one shuffle; so a key has a row for each chunk at most, however common.
-    Pairs that no other chunk has are left out, as their chunk's own counts are all there are.
-    """
-
-    def counts(chunk: int, texts: list[str | None], targets: list[bool]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(texts)
-        of_target = np.repeat(np.array(targets, float), grams.sizes)
-        for is_word, keys, at, weights in ((True, grams.words, grams.ids, of_target), (False, grams.pairs, grams.pair_at, of_target[~grams.firsts])):
-            n, target = np.bincount(at, minlength=len(keys)), np.bincount(at, weights, minlength=len(keys)).astype(np.int64)
-            for k in range(0, len(keys), 100_000):
-                m = len(keys[k : k + 100_000])
-                columns = [np.full(m, chunk), np.full(m, is_word), keys[k : k + m], target[k : k + m], n[k : k + m]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "is_word", "key", "target", "background"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts, targets = None, [], []
-        for batch in batches:
-            for chunk, target, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk != now and texts:
-                    yield from counts(now, texts, targets)
-                    texts, targets = [], []
-                now = chunk
-                texts.append(text)
-                targets.append(target)
-        if texts:
-            yield from counts(now, texts, targets)
-
-    own = texts.select("chunk", "target", "text").mapInArrow(run, "chunk long, is_word boolean, key long, target long, background long")
-    same = Window.partitionBy("is_word", "key")
-    every = [F.sum(c).over(same).alias(c) for c in ("target", "background")]
-    counted = own.select("chunk", "is_word", "key", F.col("background").alias("own"), *every).where(F.col("is_word") | (F.col("background") > F.col("own")))
-    return written(counted.drop("own"), "lm-ngrams")
+def _whole(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return widened_ranks(data[8:cut]).astype(np.int64) + (widened_ranks(data[cut:]).astype(np.int64) << 32)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", strength: float = 20.0) -> DataFrame:
-    """Columns of scored() for docs, with all documents that labels call good (label_col 1) as the target.
+    """id_col, n_tokens, target_loss, background_loss, score for each row of docs; losses are means over tokens, in nats.
 
-    The background is all documents. Every word and every pair of words has its own counts, over all documents and all
-    good ones, in a table that grows with the corpus: nothing is left out, limited or sent to the driver but three sums.
-    Chunks of documents meet the counts of their own words and pairs by shuffle. Words and pairs are told apart by 64-bit
-    hashes. Pairs are smoothed from single words with a weight of strength counts.
+    The target model is that of all documents that labels call good (label_col 1), the background that of all documents.
+    Both are bigram models over one vocabulary, smoothed from single words with a weight of strength counts. score is the
+    mean of each token's loss under the target model less its loss under the background: the lower, the more a text is
+    like the target.
+
+    Every word and every pair has its own counts, over all documents and all good ones: nothing is left out or limited, and
+    three sums reach the driver. Blocks of documents are written as numbers of their words. Each block sends the counts of
+    its own words and pairs to buckets by hash, where the counts of all blocks are added up, and gets the sums back in the
+    order in which it sent them. A word or pair with any share of the corpus is one entry a block. Buckets and tasks
+    grow with the tokens; a task holds a bucket's counts or a block. Words and pairs are told apart by 64-bit hashes.
 
     A document is good if the largest of its labels is 1; documents without a label are background only. Without good
     documents the target model is uniform. Null or empty text: no tokens, null losses and score. Null or repeated ids:
-    each row has its result. Empty table: empty result. Other columns are ignored.
+    each row has its result; ids keep their type. Empty table: empty result. Other columns are ignored.
     """
-    good = labels.groupBy(F.col(id_col).alias("good_id")).agg(F.max(label_col).alias("label")).where("label = 1 AND good_id IS NOT NULL").select("good_id")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = chunks(plain.join(good, F.col("id") == F.col("good_id"), "left").withColumn("target", F.col("good_id").isNotNull()))
-    counted = ngram_counts(texts)
-    words = counted.where("is_word").dropDuplicates(["key"]).agg(F.count("*"), F.sum("target"), F.sum("background")).first()
-    size, totals = words[0] + 1, np.array([[words[1] or 0], [words[2] or 0]], float)
-    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
-
-    def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place")
-        grams = Grams(texts["text"].to_pylist())
-        of_target = np.repeat(texts["target"].to_numpy().astype(float), grams.sizes)
-
-        def counts(is_word: bool, keys: np.ndarray, own: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            out = np.stack([np.bincount(own, weights, minlength=len(keys)), np.bincount(own, minlength=len(keys))]).astype(float)
-            some = counted.filter(pc.equal(counted["is_word"], is_word)).sort_by("key")
-            every = some["key"].to_numpy()
-            at = np.searchsorted(every, keys)
-            known = at < len(every)
-            known[known] = every[at[known]] == keys[known]
-            for k, c in enumerate(("target", "background")):
-                out[k, known] = some[c].to_numpy()[at[known]]
-            return out
-
-        word = counts(True, grams.words, grams.ids, of_target)
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    good = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1 AND id IS NOT NULL").select("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    blocks = written(_blocks(texts), "lm-blocks")
+    tokens, n_blocks = blocks.agg(F.sum("tokens"), F.count("*")).first()
+    buckets = min(MOST_BUCKETS, max(partitions, (tokens or 0) // BUCKET_TOKENS))
+    places = blocks.select("block", F.posexplode("ids").alias("place", "id")).join(good, "id").groupBy("block").agg(F.collect_list("place").alias("good"))
+    given = written(_all_counts(_own_counts(blocks.join(places, "block", "left"), buckets), max(partitions, buckets)), "lm-counts")
+    sums = given.where("totals IS NOT NULL").agg(*[F.sum(F.col("totals")[k]) for k in range(3)]).first()
+    totals, size = np.array([[sums[0] or 0], [sums[1] or 0]], float), (sums[2] or 0) + 1
+
+    def score(row: dict, given: list[dict]) -> pa.RecordBatch:
+        grams = Grams(row["sizes"], row["words"], row["stream"], buckets, places=True)
+        word, pair = np.zeros((2, len(grams.words))), np.zeros((2, len(grams.pairs)))
+        for k, c in enumerate(("target", "background")):
+            counts = [_whole(r[c]) for r in given]
+            if counts:
+                word[k, grams.word_order] = np.concatenate([n[: r["n"]] for n, r in zip(counts, given, strict=True)])
+                pair[k, grams.pair_order] = np.concatenate([n[r["n"] :] for n, r in zip(counts, given, strict=True)])
         single = (word + 1.0) / (totals + size)
-        follow = (counts(False, grams.pairs, grams.pair_at, of_target[~grams.firsts]) + strength * single[:, grams.after]) / (word[:, grams.before] + strength)
+        follow = (pair + strength * single[:, grams.after]) / (word[:, grams.before] + strength)
         losses = np.empty((2, len(grams.ids)))
         losses[:, grams.firsts] = -np.log(single)[:, grams.ids[grams.firsts]]
         losses[:, ~grams.firsts] = -np.log(follow)[:, grams.pair_at]
         sums, ends = np.concatenate([np.zeros((2, 1)), np.cumsum(losses, axis=1)], axis=1), np.cumsum(grams.sizes)
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = (sums[:, ends] - sums[:, ends - grams.sizes]) / grams.sizes
-        columns = [pa.array(c, mask=grams.sizes == 0) for c in (mean[0], mean[1], mean[0] - mean[1])]
-        return pa.table([texts["id"], pa.array(grams.sizes), *columns], names)
+        return [row["ids"], grams.sizes, *(pa.array(c, mask=grams.sizes == 0) for c in (mean[0], mean[1], mean[0] - mean[1]))]
 
-    met = texts.select("chunk", "place", "id", "target", "text").groupBy("chunk").cogroup(counted.groupBy("chunk"))
-    return met.applyInArrow(score, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: list[dict] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                row = one.to_pylist()[0]
+                if row["n"] is not None:
+                    given.append(row)
+                    continue
+                found = score(row, given)
+                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found[1]), *found[2:]], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                given = []
+
+    of_blocks = blocks.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("n"), "ids", "sizes", "words", "stream", *[F.lit(None).cast("binary").alias(c) for c in ("target", "background")])
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{id_type}>"), ("sizes", "binary"), ("words", "binary"), ("stream", "binary"))]
+    met = of_blocks.unionByName(given.select("block", "bucket", F.col("words").alias("n"), *none, "target", "background"))
+    met = met.repartition(max(partitions, (n_blocks or 0) // 4), "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
+    return met.mapInArrow(run, f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

@@ -89,7 +89,7 @@ def test_held_out_labels(spark):
 
 def plain_scores(rows, strength):
     """Bigram losses of (text, is_target) rows, with every word and pair in the models."""
-    texts = [plain_words((t or "").lower()) for t, _ in rows]
+    texts = [plain_words("".join(c.lower() if c.isascii() else c for c in t or "")) for t, _ in rows]
     vocabulary = {w for t in texts for w in t}
     size = len(vocabulary) + 1
     models = []
@@ -107,26 +107,6 @@ def plain_scores(rows, strength):
     return out
 
 
-def test_losses_against_plain_models(spark):
-    rows = [("The cat sat on the mat", True), ("the dog sat", False), ("buy now buy now", False), (None, True), ("", None), ("one", True), ("the cat sat", None)]
-    docs = spark.createDataFrame([(k, t, g, 0) for k, (t, g) in enumerate(rows)], "doc_id long, text string, is_target boolean, score int")
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, lm_scoring.fit(docs, strength=5.0)).collect()}
-    for k, (n, target, background) in enumerate(plain_scores(rows, 5.0)):
-        r = got[k]
-        assert r.n_tokens == n
-        if n:
-            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((target, background, target - background))
-        else:
-            assert r.score is None and r.target_loss is None
-
-
-def test_rare_words_share_a_place(spark):
-    docs = spark.createDataFrame([("common " * 50 + "rare odd", True), ("common", False)], "text string, is_target boolean")
-    models = lm_scoring.fit(docs, word_share=0.1, pair_share=0.5)
-    assert list(models.words) == [b"common"] and models.totals.tolist() == [[2.0, 50.0], [2.0, 51.0]]
-    assert models.pairs.tolist() == [1 * 2 + 1] and models.pair_counts.tolist() == [[49.0], [49.0]]
-
-
 def test_good_documents_score_lower(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     mean = lm_scoring.cross_entropy_difference(docs, labels).join(labels, "doc_id").groupBy("quality").avg("score")
@@ -135,16 +115,34 @@ def test_good_documents_score_lower(spark):
     assert lm_scoring.cross_entropy_difference(docs.limit(0), labels).count() == 0
 
 
-def test_every_ngram_and_every_good_document_counts(spark, monkeypatch):
-    """Rare words and pairs beside common ones, in chunks of a few rows, against plain models."""
-    monkeypatch.setattr(lm_scoring, "CHUNK", 40)
+@pytest.mark.parametrize(("block", "bucket"), [(40, 9000), (1 << 30, 20_000)])
+def test_every_ngram_and_every_good_document_counts(spark, monkeypatch, block, bucket):
+    """Rare words and pairs beside common ones, in blocks and buckets of several sizes, against plain models; null, repeated and text ids."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", bucket)
     common = "the word of the day " * 20_000
-    rows = [(0, common, 1), (1, "rare pair here", 1), (2, "rare pair there", 0), (3, None, 1), (4, "", None), (5, "one", 1), (6, "The DAY of rare", None), (None, "here the day", None), (6, "one day", None)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, q) for i, _, q in rows if q is not None] + [(1, 0), (None, 1)], "doc_id long, quality int")
-    got = sorted(((r.doc_id or -1, r.n_tokens, r.target_loss or 0, r.background_loss or 0) for r in lm_scoring.cross_entropy_difference(docs, labels).collect()))
+    rows = [("0", common, 1), ("1", "rare pair here", 1), ("2", "rare pair there", 0), ("3", None, 1), ("4", "", None), ("5", "one", 1), ("6", "The DAY of rare", None), (None, "here the day", None), ("6", "one day", None)]
+    docs = spark.createDataFrame([(*r[:2], 1, 2) for r in rows], "doc_id string, text string, block int, score int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if q is not None] + [("1", 0), (None, 1)], "doc_id string, quality int")
+    got = sorted(((r.doc_id or "-", r.n_tokens, r.target_loss or 0, r.background_loss or 0, r.score or 0) for r in lm_scoring.cross_entropy_difference(docs, labels).collect()))
     plain = plain_scores([(t, q == 1) for _, t, q in rows], 20.0)
-    want = sorted((i or -1, n, t or 0, b or 0) for (i, _, _), (n, t, b) in zip(rows, plain, strict=True))
+    want = sorted((i or "-", n, t or 0, b or 0, (t or 0) - (b or 0)) for (i, _, _), (n, t, b) in zip(rows, plain, strict=True))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert g == pytest.approx(w)
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:])
+
+
+def test_whole_table_against_plain_models(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: x for (i, _), x in zip(rows, plain_scores([(t, i in good) for i, t in rows], 20.0), strict=True)}
+    got = lm_scoring.cross_entropy_difference(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id])
+
+
+def test_counts_past_32_bits():
+    values = np.array([0, 1, 254, 255, 256, 2**32 - 1, 2**32, 2**40 + 7], np.int64)
+    assert lm_scoring._whole(lm_scoring._wide(values)).tolist() == values.tolist()
