@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.components import components
-from saltmarsh.llm.shared import first_rows, keyed, written
+from saltmarsh.llm.shared import first_rows, keyed, shared_apart, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Lanes are checked for abandoned blocks after so many bit planes.
@@ -21,11 +21,11 @@ EVERY = 8
 SMALL = 48
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of the word shingles of text, ASCII letters in lower case; zero without a word."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of words of text, ASCII letters in lower case; of the whole text if it has fewer words."""
     found = (text or "").encode().lower().split()  # splits at the ASCII white space, and lowers A-Z only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -33,12 +33,22 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, len(starts), 1 << 15):
-        some = [digest(whole[a:b], 42) for a, b in zip(starts[k : k + (1 << 15)].tolist(), ends[k : k + (1 << 15)].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(some, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int("".join("1" if 2 * c > len(starts) else "0" for c in counts.tolist()), 2)
+    return int("".join("1" if 2 * c > len(hashes) else "0" for c in counts.tolist()), 2)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of the word shingles of text; zero without a word."""
+    return majority(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -173,19 +183,8 @@ def near_links(distinct: DataFrame, radius: int = 2, chunk: int = 1024) -> DataF
             moved = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
 
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # where the last cell begins
-            if cut or (held and len(rows[0]) and held[-1][0][-1] != rows[0][0]):
-                held.append([c[:cut] for c in rows])
-                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield links(whole)
-                held = [[c[cut:] for c in rows]]
-            elif len(rows[0]):
-                held.append(rows)
-        if held:
-            yield links([np.concatenate(x) for x in zip(*held, strict=True)])
+        for cells in _by_cell(batches):
+            yield links(cells)
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
 
@@ -209,12 +208,204 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, with all its columns: that with the smallest id.
+#: Rows of min-hashes that make a band, and bands: at a similarity of 0.8 a pair shares a band with a chance of 0.9977.
+BAND, BANDS = 6, 20
+#: Fingerprints of texts with a similarity of 0.8 differ in 10 bits, with a deviation of 3; more than this are not compared.
+FAR = 24
+#: A leader's set of shingles goes with so many of its members at a time.
+WITH_LEADER = 512
+
+_seeds = np.random.default_rng(42).integers(0, 1 << 64, (2, BAND * BANDS, 1), dtype=np.uint64)
+
+
+def bands(distinct: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes of a set of shingles."""
+    least = np.full(BAND * BANDS, ONES)
+    for k in range(0, len(distinct), 4096):
+        mixed = (distinct[None, k : k + 4096] ^ _seeds[0]) * (_seeds[1] | np.uint64(1))
+        least = np.minimum(least, mixed.min(axis=1))
+    rows = least.reshape(BANDS, BAND)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def sketches(docs: DataFrame, row: str, text_col: str, words: int) -> DataFrame:
+    """row, fp, size, set_key, bands and shingles (each once) of each text."""
+    names = ["row", "fp", "size", "set_key", "bands", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                fps, sets = [], []
+                for text in some.column(1):
+                    every = shingles(text.as_py(), words)
+                    fps.append(majority(every))
+                    sets.append(np.unique(every))
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                columns = [
+                    some.column(0),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(sizes),
+                    pa.array([xxhash.xxh64_intdigest(x.tobytes(), len(x)) - (1 << 63) for x in sets], pa.int64()),
+                    pa.array([bands(x) for x in sets], pa.list_(pa.int64())),
+                    flat,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>, shingles array<long>")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole cells; the first column is the cell, and rows are in its order."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # where the last cell begins
+        if cut or (held and held[-1][0][-1] != rows[0][0]):
+            held.append([c[:cut] for c in rows])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = [[c[cut:] for c in rows]]
+        else:
+            held.append(rows)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows (key, ...) of keys with two rows or more, with how many chunks their key is dealt into, and their own."""
+    sizes = rows.groupBy("key").count().where("count > 1")
+    placed = shared_apart(rows, sizes, ["key"], "count", rows.count(), "inner")
+    placed = placed.withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
+    return placed.withColumn("own", F.pmod(F.xxhash64("row", F.lit("chunk")), F.col("chunks").cast("long")).cast("int"))
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """key, chunks, src, dst, fp, size, near for each row of members (key, row, fp, size, chunks, own): the leader of its chunk.
+
+    A chunk's leader (dst, with its fp and size) is the row whose fingerprint is nearest to the bits that most of the chunk have.
+    near: whether the fingerprints are FAR apart at most.
+    """
+    names = ["key", "chunks", "src", "dst", "fp", "size", "near"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, key, chunks, row, fp, size in _by_cell(batches):
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            sizes = np.diff(np.append(starts, len(cell)))
+            bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+            most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
+            apart = (bits != np.repeat(most, sizes, axis=0)).sum(axis=1)
+            of = np.repeat(np.arange(len(starts)), sizes)
+            first = np.lexsort((row, apart, of))[starts]
+            lead = np.repeat(first, sizes)
+            ok = lanes_within(planes(fp.view(np.uint64))[:, :, None], planes(fp[lead].view(np.uint64))[:, :, None], FAR)
+            near = np.zeros(len(cell), bool)
+            word, lane = _set_lanes(ok, 64)
+            hit = word * 64 + lane
+            near[hit[hit < len(cell)]] = True
+            columns = [key, chunks, row, row[lead], fp[lead], size[lead], near & (5 * np.minimum(size, size[lead]) >= 4 * np.maximum(size, size[lead]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    cells = members.select(F.xxhash64("key", "own").alias("cell"), "key", "chunks", "row", "fp", "size")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "key long, chunks int, src long, dst long, fp long, size long, near boolean")
+
+
+def _unlinked(members: DataFrame) -> DataFrame:
+    """src, dst: pairs within a key of members (key, row, fp, size, chunks, own, component) from different components,
+    with fingerprints FAR apart at most. Each pair of a key's chunks is a cell; distances are counted bit plane by bit plane."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, side, row, fp, size, component in _by_cell(batches):
+            borders = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            fp = fp.view(np.uint64)
+            for start, end in zip(borders.tolist(), borders[1:].tolist(), strict=False):
+                rows = np.arange(start, end)
+                left, right = (rows[side[rows] == 1], rows[side[rows] == 2]) if side[start] else (rows, rows)
+                if not len(left) or not len(right):
+                    continue
+                lanes = planes(fp[right])[:, None, :]
+                for k in range(0, len(left), 256):
+                    some = left[k : k + 256]
+                    set_bits = np.unpackbits(fp[some].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
+                    query, lane = _set_lanes(lanes_within((set_bits * ONES).astype(np.uint64)[:, :, None], lanes, FAR), len(right))
+                    a, b = some[query], right[lane]
+                    keep = (component[a] != component[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
+                    if side[start] == 0:
+                        keep &= row[a] < row[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[a[keep]]), pa.array(row[b[keep]])], ["src", "dst"])
+
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+    cells = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "row", "fp", "size", "component")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets of shingles (row, size, shingles) have a Jaccard similarity of similarity or more.
+
+    A row that is dst of many pairs has its set dealt out to parts of WITH_LEADER of them.
+    """
+    pairs = written(pairs, "near-pairs")
+    counts = pairs.groupBy("dst").count()
+    dealt = shared_apart(pairs, counts, ["dst"], "count", pairs.count(), "inner")
+    parts = F.ceil(F.col("count") / WITH_LEADER).cast("int")
+    dealt = dealt.select("src", "dst", F.pmod(F.xxhash64("src"), parts.cast("long")).cast("int").alias("part"))
+    led = counts.join(sets.select(F.col("row").alias("dst"), F.col("shingles").alias("of_dst")), "dst")
+    led = led.select("dst", "of_dst", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = dealt.join(sets.select(F.col("row").alias("src"), F.col("shingles").alias("of_src")), "src").join(led, ["dst", "part"])
+    both = F.size(F.array_intersect("of_src", "of_dst"))
+    return met.where(both >= similarity * (F.size("of_src") + F.size("of_dst") - both)).select("src", "dst")
+
+
+def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+    """row, group for each row of docs that is in a group of two or more: texts linked by a Jaccard similarity of their sets of
+    word shingles of similarity or more, directly or over others. row numbers the rows; group is the smallest of its group.
+
+    A fingerprint of 64 bits cannot bound a search at 0.8, as such texts differ in 10 bits or so. So rows that share a band of
+    min-hashes are candidates. Equal sets are compared once. Within a band's key, chunk rows at a time elect the row whose
+    fingerprint is nearest to the bits that most have, and each row is compared with it alone; leaders of a
+    key's chunks elect theirs. Where a key's rows are then not all linked, its rows from different groups are compared by the
+    bit-sliced distance of their fingerprints, and those within FAR bits by their sets. So a group of copies gives a link or so a
+    row and not all its pairs, no key or leader stays in one task, and the sets themselves decide on each link.
+
+    Null text: as empty. Texts without words are equal. Empty table: empty result.
+    """
+    each = written(sketches(docs, row, text_col, words), "near-sketches")
+    sets = each.select("row", "shingles")
+    whole = each.groupBy("set_key").agg(F.min(F.struct("row", "fp", "size", "bands")).alias("first"), F.count("*").alias("n"))
+    whole = written(whole.select("set_key", "first.*", "n"), "near-sets")
+    entries = written(_chunked(whole.where("size > 0").select(F.explode("bands").alias("key"), "row", "fp", "size"), chunk), "near-keys")
+
+    led, pairs = entries, None
+    while True:
+        found = written(_leaders(led), "near-leaders")
+        near = found.where("near AND src <> dst").select("src", "dst")
+        pairs = near if pairs is None else pairs.unionByName(near)
+        more = found.where("chunks > 1 AND src = dst").select("key", F.col("dst").alias("row"), "fp", "size")
+        if more.isEmpty():
+            break
+        led = written(_chunked(more, chunk), "near-chunks")
+    linked = written(similar_pairs(pairs.distinct(), sets, similarity), "near-linked")
+    now = written(components(linked), "near-now").withColumnRenamed("node", "row")
+    placed = entries.join(now, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    rest = shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi")
+    also = written(similar_pairs(_unlinked(rest), sets, similarity), "near-also")
+    found = components(linked.unionByName(also))
+    of_set = whole.join(found, F.col("row") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
+    of_set = written(of_set.select("set_key", "n", F.coalesce("component", "row").alias("group")), "near-groups")
+    return shared_apart(each.select("row", "set_key"), of_set, ["set_key"], "n", each.count(), "inner").select("row", "group")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar_groups(), with all its columns: that with the smallest id; and all rows outside groups.
 
     Rows are told apart by a number of their own, so ids may be null (never the smallest, unless the whole group
-    has none) and repeated, with the same or with other texts.
+    has none), of any ordered type and repeated, with the same or with other texts. Columns may have any names.
+    Null text: as empty. Empty table: empty result.
     """
     rows, row = keyed(docs, "near-keyed")
-    members = near_groups(rows, row, text_col).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
-    return first_rows(rows, row, written(members, "near-members"), id_col)
+    return first_rows(rows, row, written(similar_groups(rows, row, text_col, words, similarity), "near-members"), id_col)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saltmarsh.llm import chat_format, exact_dedup, line_dedup, queries, shared, sharding, simhash
+from saltmarsh.llm import chat_format, exact_dedup, line_dedup, queries, shared, sharding
+from test_simhash import plain_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -175,21 +176,10 @@ def test_pipeline_stages(spark):
                 first.setdefault(collapsed(before[i]), i)
             assert ids == sorted(first.values())
         else:
-            assert ids == plain_near(before)
+            groups, _ = plain_similar(before)
+            assert ids == sorted(set(groups.values()))
         docs = docs.where(F.col("doc_id").isin(ids))
     tokens = {r.doc_id: r.doc_tokens for r in corpus_pipeline.pack(spark, docs, SF).collect()}
     assert sorted(tokens) == ids
     whole = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in whole} == tokens
-
-
-def plain_near(texts):
-    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    first = {}
-    for i in sorted(prints):
-        near = {first[j] for j in first if (prints[i] ^ prints[j]).bit_count() <= 2}
-        first[i] = min(near, default=i)
-        for j in first:
-            if first[j] in near:
-                first[j] = first[i]
-    return sorted({first[i] for i in first})

@@ -101,6 +101,76 @@ def test_components_long_chain(spark):
     assert got == {k: 0 for k in range(61)} | {99: 99, 100: 99}
 
 
+def plain_similar(texts, words=5, similarity=0.8):
+    """The smallest index reachable over pairs of texts whose sets of shingles are similar, from all pairs."""
+    sets = {}
+    for k, text in texts.items():
+        found = (text or "").encode().lower().split()
+        sets[k] = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+            links += sets[a] != sets[b]
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k: top(k) for k in sets}, links
+
+
+def grouped(spark, texts, **how):
+    docs = spark.createDataFrame(list(texts.items()), "k long, text string").repartition(3)
+    found = {r.row: r.group for r in simhash.similar_groups(docs, "k", **how).collect()}
+    return {k: found.get(k, k) for k in texts}
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_similar_groups_against_all_pairs(spark, chunk, monkeypatch):
+    """Groups of changed copies around an original, chains, common passages and short texts; leaders of chunks of four, and of all."""
+    monkeypatch.setattr(simhash, "WITH_LEADER", 3)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    changed = lambda text, n: [word() if k in places else w for places in [set(rng.sample(range(len(text)), n))] for k, w in enumerate(text)]
+    texts, passage = [], [word() for _ in range(60)]
+    for size in (40, 200, 600):
+        original = [word() for _ in range(size)]
+        texts += [original] + [changed(original, rng.randrange(0, 1 + size // 60)) for _ in range(40)]
+        step = [word() for _ in range(size)]
+        for _ in range(12):
+            step = changed(step, max(1, size // 60))
+            texts.append(step)
+    texts += [passage + [word() for _ in range(rng.randrange(5, 200))] for _ in range(40)]
+    texts += [[], [], ["one"], ["One"], ["a", "b"], ["a", "b", "c", "d", "e", "f"], ["w"] * 5000, ["w"] * 400]
+    rng.shuffle(texts)
+    rows = dict(enumerate(" ".join(t) for t in texts))
+    want, links = plain_similar(rows)
+    assert links > 300
+    assert grouped(spark, rows, chunk=chunk) == want
+
+
+def test_similar_groups_of_documents(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert grouped(spark, rows) == plain_similar(rows)[0]
+    assert grouped(spark, {}) == {}
+
+
+def test_bands_meet_at_the_similarity():
+    """Pairs at a similarity of 0.8 share a band nearly always, and differ in far fewer bits than FAR."""
+    rng, met, far = np.random.default_rng(1), 0, 0
+    for _ in range(300):
+        both, a, b = np.split(rng.integers(0, 1 << 64, 400 + 100, dtype=np.uint64), [400, 450])
+        x, y = np.concatenate([both, a]), np.concatenate([both, b])
+        met += any(p == q for p, q in zip(simhash.bands(x), simhash.bands(y)))
+        far += (simhash.majority(x) ^ simhash.majority(y)).bit_count() > simhash.FAR
+    assert met >= 295 and far == 0
+
+
 def test_drop_near_copies(spark):
     docs = spark.createDataFrame([(2, "a b c d"), (1, "A b  c d"), (3, "quite another text of words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [1, 3]
