@@ -66,7 +66,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
 
 class Grams:
-    """The words and word pairs of a block, each once: hashes, buckets, and where each token finds its own."""
+    """The words and word pairs of a block, each once: hashes, in order and by bucket, and where each token finds its own."""
 
     def __init__(self, sizes: bytes, words: bytes, stream: bytes, buckets: int, places: bool = False) -> None:
         self.sizes, self.ids = widened_ranks(sizes).astype(np.int64), widened_ranks(stream).astype(np.int64)
@@ -83,8 +83,23 @@ class Grams:
         self.coded, (self.before, self.after) = pairs, np.divmod(pairs, n)
         x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.after] * np.uint64(0xC2B2AE3D27D4EB4F)
         self.pairs = (x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
-        self.word_bucket, self.pair_bucket = self.words % np.uint64(buckets), self.pairs % np.uint64(buckets)
-        self.word_order, self.pair_order = np.argsort(self.word_bucket, kind="stable"), np.argsort(self.pair_bucket, kind="stable")
+        self.word_order, self.pair_order = np.argsort(self.words, kind="stable"), np.argsort(self.pairs, kind="stable")
+        #: Where each bucket's words and pairs begin in their order: a bucket is a range of hashes.
+        low = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+        self.cuts = [np.concatenate(([0], np.searchsorted(x[order], low), [len(x)])) for x, order in ((self.words, self.word_order), (self.pairs, self.pair_order))]
+
+
+def _steps(words: np.ndarray, pairs: np.ndarray) -> bytes:
+    """Rising hashes as their differences, byte plane by byte plane, compressed."""
+    steps = np.concatenate([np.diff(x, prepend=np.uint64(0)) for x in (words, pairs)])
+    raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _stepped(data: bytes, words: int) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.concatenate([np.cumsum(steps[:words]), np.cumsum(steps[words:])])
 
 
 _SENT = ["block", "bucket", "words", "keys", "target", "background"]
@@ -106,12 +121,13 @@ def _own_counts(marked: DataFrame, buckets: int) -> DataFrame:
                 coded, n = np.unique(grams.keys[of_target[~grams.firsts]], return_counts=True)
                 pair_target = np.zeros(len(grams.pairs), np.int64)
                 pair_target[np.searchsorted(grams.coded, coded)] = n
-                counts = ((grams.words, *word_n, grams.word_order, grams.word_bucket), (grams.pairs, grams.pair_n, pair_target, grams.pair_order, grams.pair_bucket))
-                cuts = [np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)) for _, _, _, order, bucket in counts]
+                counts = ((grams.words, *word_n, grams.word_order), (grams.pairs, grams.pair_n, pair_target, grams.pair_order))
+                cuts = grams.cuts
                 for b in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
-                    at = [order[c[b] : c[b + 1]] for (_, _, _, order, _), c in zip(counts, cuts, strict=True)]
-                    keys, every, target = (np.concatenate([x[k][a] for x, a in zip(counts, at, strict=True)]) for k in range(3))
-                    values = [row["block"], b, len(at[0]), keys.tobytes(), squeezed_ranks(target.astype(np.uint32)), squeezed_ranks(every.astype(np.uint32))]
+                    at = [x[3][c[b] : c[b + 1]] for x, c in zip(counts, cuts, strict=True)]
+                    every, target = (np.concatenate([x[k][a] for x, a in zip(counts, at, strict=True)]) for k in (1, 2))
+                    keys = [x[0][a] for x, a in zip(counts, at, strict=True)]
+                    values = [row["block"], b, len(at[0]), _steps(*keys), squeezed_ranks(target.astype(np.uint32)), squeezed_ranks(every.astype(np.uint32))]
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _SENT)
 
@@ -127,7 +143,7 @@ def _all_counts(own: DataFrame, partitions: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def add_up(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [_stepped(r["keys"], r["words"]) for r in rows]
         splits = [r["words"] for r in rows]
         own_counts = {c: [widened_ranks(r[c]) for r in rows] for c in ("target", "background")}
         given, totals = {c: [[], []] for c in own_counts}, [0, 0, 0]
