@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.shared import SPACE, keyed, shared_apart, text_or_empty, written
-
-#: Open lengths, and open prefix hashes, are broadcast as so many numbers at most, however many there are.
-BUCKETS = 1 << 18
-
+from saltmarsh.llm.shared import SPACE, bucket, keyed, shared_apart, text_or_empty, written
 
 def normalised(text: Column) -> Column:
     """text with every run of white space as one space; null counts as empty."""
     return F.regexp_replace(text_or_empty(text), SPACE, " ")
 
 
-def _bucket(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-
-
 def _open(rows: DataFrame, *columns: str) -> DataFrame:
     """Buckets of the values of columns that two rows or more share."""
-    return F.broadcast(rows.groupBy(*columns).count().where("count > 1").select(_bucket(*columns).alias("bucket"), F.lit(True).alias("open")).distinct())
+    return F.broadcast(rows.groupBy(*columns).count().where("count > 1").select(bucket(*columns).alias("bucket"), F.lit(True).alias("open")).distinct())
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, row: Column, prefix_chars: int, with_digest: bool) -> DataFrame:
@@ -30,10 +22,10 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, row: Column, prefix_cha
     norm = docs.select(row.alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     texts = norm.select("*", F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
     sizes = written(texts.select("len", "prefix"), "exact-sizes")
-    by_length = sizes.withColumn("bucket", _bucket("len")).join(_open(sizes, "len"), "bucket", "left_semi")
+    by_length = sizes.withColumn("bucket", bucket("len")).join(_open(sizes, "len"), "bucket", "left_semi")
     by_prefix = _open(by_length, "len", "prefix")
 
-    marked = texts.withColumn("bucket", _bucket("len", "prefix")).join(by_prefix, "bucket", "left")
+    marked = texts.withColumn("bucket", bucket("len", "prefix")).join(by_prefix, "bucket", "left")
     is_open = F.coalesce("open", F.lit(False))
     read = F.lit(True) if with_digest else is_open
     rows = written(marked.select("row", "id", is_open.alias("open"), F.when(read, F.unhex(F.sha2("norm", 256))).alias("digest")), "exact-rows")

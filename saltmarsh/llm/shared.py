@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with over a KEYS-th of all rows are joined by broadcast: there are fewer than KEYS of them.
 KEYS = 1024
+#: A set of values that is broadcast to where rows are read holds so many numbers at most, however many values there are.
+BUCKETS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +46,11 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bucket(*columns: str) -> Column:
+    """The number, below BUCKETS, that stands for the values of columns in a broadcast set."""
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
 def row_name(df: DataFrame) -> str:
     """A name for a row number that no column of df has."""
     name, taken = "_row", {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.components import components
-from saltmarsh.llm.shared import first_rows, keyed, shared_apart, written
+from saltmarsh.llm.shared import bucket, first_rows, keyed, shared_apart, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Lanes are checked for abandoned blocks after so many bit planes.
@@ -229,32 +229,42 @@ def bands(distinct: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, row: str, text_col: str, words: int) -> DataFrame:
-    """row, fp, size, set_key, bands and shingles (each once) of each text."""
-    names = ["row", "fp", "size", "set_key", "bands", "shingles"]
+    """row, fp, size (of the set of shingles), set_key and bands of each text."""
+    names = ["row", "fp", "size", "set_key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                fps, sets = [], []
+                some, found = batch.slice(k, 500), []
                 for text in some.column(1):
                     every = shingles(text.as_py(), words)
-                    fps.append(majority(every))
-                    sets.append(np.unique(every))
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                columns = [
-                    some.column(0),
-                    pa.array(np.array(fps, np.uint64).view(np.int64)),
-                    pa.array(sizes),
-                    pa.array([xxhash.xxh64_intdigest(x.tobytes(), len(x)) - (1 << 63) for x in sets], pa.int64()),
-                    pa.array([bands(x) for x in sets], pa.list_(pa.int64())),
-                    flat,
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    own = np.unique(every)
+                    found.append((majority(every), len(own), xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63), bands(own)))
+                fps, sizes, keys, of_bands = zip(*found, strict=True)
+                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(of_bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names)
 
     texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>, shingles array<long>")
+    return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, row: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """row and shingles, each once, of the texts whose rows are wanted (row), and of a few others.
+
+    Which are wanted is broadcast as bucket numbers, so texts are neither shuffled nor, unless wanted, cut into shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                some = batch.slice(k, 100)
+                sets = [np.unique(shingles(text.as_py(), words)) for text in some.column(1)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["row", "shingles"])
+
+    marks = wanted.select(bucket("row").alias("bucket")).distinct()
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")).withColumn("bucket", bucket("row"))
+    return texts.join(F.broadcast(marks), "bucket", "left_semi").select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -343,12 +353,13 @@ def _unlinked(members: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose sets of shingles (row, size, shingles) have a Jaccard similarity of similarity or more.
+def similar_pairs(pairs: DataFrame, docs: DataFrame, row: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of rows of docs whose sets of shingles have a Jaccard similarity of similarity or more.
 
     A row that is dst of many pairs has its set dealt out to parts of WITH_LEADER of them.
     """
     pairs = written(pairs, "near-pairs")
+    sets = written(shingle_sets(docs, row, text_col, words, pairs.select(F.explode(F.array("src", "dst")).alias("row"))), "near-shingles")
     counts = pairs.groupBy("dst").count()
     dealt = shared_apart(pairs, counts, ["dst"], "count", pairs.count(), "inner")
     parts = F.ceil(F.col("count") / WITH_LEADER).cast("int")
@@ -374,7 +385,6 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     Null text: as empty. Texts without words are equal. Empty table: empty result.
     """
     each = written(sketches(docs, row, text_col, words), "near-sketches")
-    sets = each.select("row", "shingles")
     whole = each.groupBy("set_key").agg(F.min(F.struct("row", "fp", "size", "bands")).alias("first"), F.count("*").alias("n"))
     whole = written(whole.select("set_key", "first.*", "n"), "near-sets")
     entries = written(_chunked(whole.where("size > 0").select(F.explode("bands").alias("key"), "row", "fp", "size"), chunk), "near-keys")
@@ -388,12 +398,12 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
         if more.isEmpty():
             break
         led = written(_chunked(more, chunk), "near-chunks")
-    linked = written(similar_pairs(pairs.distinct(), sets, similarity), "near-linked")
+    linked = written(similar_pairs(pairs.distinct(), docs, row, text_col, words, similarity), "near-linked")
     now = written(components(linked), "near-now").withColumnRenamed("node", "row")
     placed = entries.join(now, "row", "left").withColumn("component", F.coalesce("component", "row"))
     apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     rest = shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi")
-    also = written(similar_pairs(_unlinked(rest), sets, similarity), "near-also")
+    also = written(similar_pairs(_unlinked(rest), docs, row, text_col, words, similarity), "near-also")
     found = components(linked.unionByName(also))
     of_set = whole.join(found, F.col("row") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
     of_set = written(of_set.select("set_key", "n", F.coalesce("component", "row").alias("group")), "near-groups")
