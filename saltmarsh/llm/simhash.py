@@ -286,41 +286,44 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows (key, ...) of keys with two rows or more, with how many chunks their key is dealt into, and their own."""
-    sizes = rows.groupBy("key").count().where("count > 1")
-    placed = shared_apart(rows, sizes, ["key"], "count", rows.count(), "inner")
-    placed = placed.withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
+    """rows (key, ...) with how many chunks of chunk rows their key is dealt into, and their own."""
+    large = rows.groupBy("key").count().where(F.col("count") > chunk)
+    placed = shared_apart(rows, large, ["key"], "count", rows.count())
+    placed = placed.withColumn("chunks", F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")).drop("count")
     return placed.withColumn("own", F.pmod(F.xxhash64("row", F.lit("chunk")), F.col("chunks").cast("long")).cast("int"))
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """key, chunks, src, dst, fp, size, near for each row of members (key, row, fp, size, chunks, own): the leader of its chunk.
+    """members (key, row, fp, size, chunks, own) with the leader of their chunk: dst, with its fp and size in dst_fp and
+    dst_size, and near. Chunks of one row are left out, unless their key has more chunks.
 
-    A chunk's leader (dst, with its fp and size) is the row whose fingerprint is nearest to the bits that most of the chunk have.
-    near: whether the fingerprints are FAR apart at most.
+    A chunk's leader is the row whose fingerprint is nearest to the bits that most of the chunk have.
+    near: whether it is another row, its set not too different in size, and the fingerprints FAR apart at most.
     """
-    names = ["key", "chunks", "src", "dst", "fp", "size", "near"]
+    names = ["key", "row", "fp", "size", "chunks", "own", "dst", "dst_fp", "dst_size", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, key, chunks, row, fp, size in _by_cell(batches):
+        for cell, *columns in _by_cell(batches):
+            _, row, fp, size, chunks, _ = columns
             starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             sizes = np.diff(np.append(starts, len(cell)))
             bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
             most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
             apart = (bits != np.repeat(most, sizes, axis=0)).sum(axis=1)
             of = np.repeat(np.arange(len(starts)), sizes)
-            first = np.lexsort((row, apart, of))[starts]
-            lead = np.repeat(first, sizes)
+            lead = np.repeat(np.lexsort((row, apart, of))[starts], sizes)
             ok = lanes_within(planes(fp.view(np.uint64))[:, :, None], planes(fp[lead].view(np.uint64))[:, :, None], FAR)
             near = np.zeros(len(cell), bool)
             word, lane = _set_lanes(ok, 64)
             hit = word * 64 + lane
             near[hit[hit < len(cell)]] = True
-            columns = [key, chunks, row, row[lead], fp[lead], size[lead], near & (5 * np.minimum(size, size[lead]) >= 4 * np.maximum(size, size[lead]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            near &= (row != row[lead]) & (5 * np.minimum(size, size[lead]) >= 4 * np.maximum(size, size[lead]))
+            stay = np.repeat(sizes, sizes) + chunks > 2
+            yield pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in (*columns, row[lead], fp[lead], size[lead], near)], names)
 
-    cells = members.select(F.xxhash64("key", "own").alias("cell"), "key", "chunks", "row", "fp", "size")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "key long, chunks int, src long, dst long, fp long, size long, near boolean")
+    cells = members.select(F.xxhash64("key", "own").alias("cell"), *names[:6])
+    schema = "key long, row long, fp long, size long, chunks int, own int, dst long, dst_fp long, dst_size long, near boolean"
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
 def _unlinked(members: DataFrame) -> DataFrame:
@@ -371,15 +374,21 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, row: str, text_col: str, wo
     return met.where(both >= similarity * (F.size("of_src") + F.size("of_dst") - both)).select("src", "dst")
 
 
+def _components_of(links: DataFrame) -> DataFrame:
+    """row, component of each row with links (src, dst)."""
+    return written(components(links), "near-components").withColumnRenamed("node", "row")
+
+
 def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
     """row, group for each row of docs that is in a group of two or more: texts linked by a Jaccard similarity of their sets of
     word shingles of similarity or more, directly or over others. row numbers the rows; group is the smallest of its group.
 
     A fingerprint of 64 bits cannot bound a search at 0.8, as such texts differ in 10 bits or so. So rows that share a band of
     min-hashes are candidates. Equal sets are compared once. Within a band's key, chunk rows at a time elect the row whose
-    fingerprint is nearest to the bits that most have, and each row is compared with it alone; leaders of a
-    key's chunks elect theirs. Where a key's rows are then not all linked, its rows from different groups are compared by the
-    bit-sliced distance of their fingerprints, and those within FAR bits by their sets. So a group of copies gives a link or so a
+    fingerprint is nearest to the bits that most have; leaders of a key's chunks elect theirs. Each row is first compared with
+    that of its leaders that leads most rows, then with those that it is not yet linked to. Where a key's rows are then not all
+    linked, its rows from different groups are compared by the bit-sliced distance of their fingerprints, and those within FAR
+    bits by their sets. So a group of copies gives a link or so a
     row and not all its pairs, no key or leader stays in one task, and the sets themselves decide on each link.
 
     Null text: as empty. Texts without words are equal. Empty table: empty result.
@@ -387,20 +396,27 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     each = written(sketches(docs, row, text_col, words), "near-sketches")
     whole = each.groupBy("set_key").agg(F.min(F.struct("row", "fp", "size", "bands")).alias("first"), F.count("*").alias("n"))
     whole = written(whole.select("set_key", "first.*", "n"), "near-sets")
-    entries = written(_chunked(whole.where("size > 0").select(F.explode("bands").alias("key"), "row", "fp", "size"), chunk), "near-keys")
-
-    led, pairs = entries, None
+    led = _chunked(whole.where("size > 0").select(F.explode("bands").alias("key"), "row", "fp", "size"), chunk)
+    entries = pairs = None
     while True:
         found = written(_leaders(led), "near-leaders")
-        near = found.where("near AND src <> dst").select("src", "dst")
+        entries = found.select("key", "row", "fp", "size", "chunks", "own") if entries is None else entries
+        near = found.where("near").select(F.col("row").alias("src"), "dst")
         pairs = near if pairs is None else pairs.unionByName(near)
-        more = found.where("chunks > 1 AND src = dst").select("key", F.col("dst").alias("row"), "fp", "size")
+        more = found.where("chunks > 1 AND row = dst").select("key", "row", "fp", "size")
         if more.isEmpty():
             break
-        led = written(_chunked(more, chunk), "near-chunks")
-    linked = written(similar_pairs(pairs.distinct(), docs, row, text_col, words, similarity), "near-linked")
-    now = written(components(linked), "near-now").withColumnRenamed("node", "row")
-    placed = entries.join(now, "row", "left").withColumn("component", F.coalesce("component", "row"))
+        led = _chunked(more, chunk)
+    pairs = written(pairs.distinct(), "near-candidates")
+    total, led = pairs.count(), pairs.groupBy("dst").count()
+    best = shared_apart(pairs, led, ["dst"], "count", total, "inner").groupBy("src").agg(F.max_by("dst", F.struct("count", F.negate("dst"))).alias("dst"))
+    linked = written(similar_pairs(best, docs, row, text_col, words, similarity), "near-linked")
+    now = _components_of(linked)
+    of_dst = led.join(now, led.dst == now.row, "left").select("dst", "count", F.coalesce("component", "dst").alias("of_dst"))
+    crossing = shared_apart(pairs, of_dst, ["dst"], "count", total, "inner").join(now, F.col("src") == F.col("row"), "left")
+    crossing = crossing.where(F.col("of_dst") != F.coalesce("component", "src")).select("src", "dst")
+    linked = linked.unionByName(written(similar_pairs(crossing, docs, row, text_col, words, similarity), "near-crossing"))
+    placed = entries.join(_components_of(linked), "row", "left").withColumn("component", F.coalesce("component", "row"))
     apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     rest = shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi")
     also = written(similar_pairs(_unlinked(rest), docs, row, text_col, words, similarity), "near-also")
