@@ -98,3 +98,9 @@ def kind_terms(text: Column, terms: dict[str, tuple[str, ...]]) -> Column:
     """The categories whose terms text has, in their order."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.array_compact(F.array(*[F.when(low.rlike(any_of(t)), name) for name, t in terms.items()]))
+
+
+def foreign(code: Column, tier: Column) -> Column:
+    """Whether a claim is plainly foreign: its country is known and another one, and its tier is not direct."""
+    known = F.coalesce(code, F.lit(""))
+    return ~known.isin("", "KR", "UNKNOWN", "N/A", "-") & ~F.coalesce(tier, F.lit("none")).isin("confirmed", "strong", "likely")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Review values and confidences (fixed values).
 IS_CASE, NO_CASE, OPEN = "사건 O", "사건 X", "미검토"
@@ -84,14 +88,33 @@ def evidence_ids(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: x != ""))
 
 
-def links(text: Column) -> Column:
-    """Entries parted by line ends, semicolons, and commas or middle dots outside brackets.
+#: What an entry of a link list says when there is none (fixed values).
+PLACEHOLDERS = frozenset(["미기입", "-", "—", "없음", "모름", "미확인", "해당 없음"])
+_MARK = re.compile(r"[(\[（)\]）\n;,]| · ")
+
+
+def _entries(text: str | None) -> list[str]:
+    out, depth, start = [], 0, 0
+    for found in _MARK.finditer(text or ""):
+        mark = found.group()
+        if mark in "([（":
+            depth += 1
+        elif mark in ")]）":
+            depth = max(0, depth - 1)
+        elif mark in "\n;" or depth == 0:
+            out.append(text[start : found.start()])
+            start, depth = found.end(), 0 if mark == "\n" else depth
+    out.append((text or "")[start:])
+    return [x for x in map(str.strip, out) if x and x not in PLACEHOLDERS]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def links(text: pd.Series) -> pd.Series:
+    """Entries parted by line ends, semicolons, and commas or middle dots outside brackets, without those that say there is none.
 
-    A bracket left open ends with its line. Brackets are told apart one level deep.
+    Brackets nest to any depth and length; one left open ends with its line. Null: no entries.
     """
-    held = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[(\[（][^)\]）\n]{0,500}),(?=[^(\[（\n]{0,500}[)\]）])", "\x00")
-    parts = F.split(F.regexp_replace(held, r" · |[;,]", "\n"), "\n")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit("\x00"), F.lit(",")))), lambda x: x != "")
+    return text.map(_entries, na_action=None)
 
 
 def without_date(text: Column) -> Column:

@@ -58,8 +58,8 @@ def grade(text: Column) -> Column:
 
 
 def display(text: Column) -> Column:
-    """The claim as a number and a unit: 억, 만 or 건 for rows, else the first figure of bytes; null for none."""
-    rows = rows_claimed(text)
+    """The claim as a number and a unit: 억, 만 or 건 for the most rows (files are none), else the first figure of bytes; null for none."""
+    rows = rows_claimed(F.regexp_replace(text, r"\d[\d, ]*\s*개", " "))
     plain = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
     of_rows = F.when(rows >= 1e8, F.concat(plain(F.round(rows / 1e8, 2)), F.lit("억"))).when(rows >= 1e4, F.concat(plain(F.round(rows / 1e4, 2)), F.lit("만"))).when(rows > 0, F.concat(F.round(rows).cast("long").cast("string"), F.lit("건")))
     amount, unit = F.regexp_extract(text, BYTES, 1), F.upper(F.regexp_extract(text, BYTES, 2))

@@ -161,9 +161,9 @@ def monthly_counts(posts: DataFrame, at: Column, months: int = 12) -> DataFrame:
 def top_shares(rows: DataFrame, name: str, n: str, top: int) -> DataFrame:
     """name, n, percent of the top rows and one row for the others."""
     counted = rows.groupBy(name).agg(F.sum(n).alias("n"))
-    placed = counted.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("n"), name)))
-    kept = F.col("_place") <= top
-    grouped = placed.groupBy(F.when(kept, F.col(name).cast("string")).otherwise("others").alias(name)).agg(F.sum("n").alias("n"), F.count("*").alias("places"))
+    first = counted.orderBy(F.desc("n"), name).limit(top)
+    rest = counted.join(F.broadcast(first.select(name)), name, "left_anti").agg(F.sum("n").alias("n"), F.count("*").alias("places")).where("places > 0")
+    grouped = first.select(F.col(name).cast("string").alias(name), "n", F.lit(1).cast("long").alias("places")).unionByName(rest.select(F.lit("others").alias(name), "n", "places"))
     return grouped.withColumn("percent", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
 
 

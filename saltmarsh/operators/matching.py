@@ -99,11 +99,38 @@ def hosts_named(pages: DataFrame, text: str, own: str, hosts: DataFrame, most: i
     return grouped.select("id", F.slice("named", 1, most).alias("named"), "unknown")
 
 
+#: Legal forms of names, words that name no organisation, and common ends of domains (fixed values).
+LEGAL = r"(?i)\b(?:co\.?,?\s*ltd\.?|ltd\.?|inc\.?|corp\.?|corporation|company|co\.|llc|plc|gmbh)(?=$|[^a-z0-9])|주식회사|유한회사|\(주\)|㈜|\(유\)"
+NO_NAME = (
+    "기타", "미상", "미확인", "없음", "모름", "unknown", "n/a", "한국", "korea", "대한민국",
+    "ltd", "inc", "corp", "co", "llc", "plc", "gmbh", "company", "corporation",
+    "주식회사", "유한회사", "www", "http", "https", "com", "net", "org",
+)
+DOMAIN_ENDS = "com|net|org|kr|co|or|go|ac|ne|re|pe|gov|edu|io|jp|cn"
+DOMAIN_NAME = r"[a-z0-9-]+(?:\.[a-z0-9-]+)+"
+
+
+def registered_name(domain: Column) -> Column:
+    """The label of a domain before its common ends: lamaba of shop.lamaba.com."""
+    return F.regexp_extract(domain, rf"^(?:[^.]+\.)*?([^.]+)(?:\.(?:{DOMAIN_ENDS}))*$", 1)
+
+
+def _domains(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(DOMAIN_NAME), 0), lambda d: F.regexp_replace(d, r"^www\.", ""))
+
+
+def _names_only(names: Column, least: int) -> Column:
+    return F.array_distinct(F.filter(names, lambda k: (F.length(k) >= least) & ~k.isin(*NO_NAME)))
+
+
 def org_keys(name: Column) -> Column:
-    """Keys of an organisation's name: its words, bare, of four characters or more, without legal forms."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^0-9a-z가-힣]+", " "), " ")
-    legal = F.array(*map(F.lit, ("corp", "corporation", "company", "limited", "group", "holdings", "gmbh")))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~F.array_contains(legal, w)))
+    """Keys of an organisation's name: the whole name, without brackets, and without legal forms, each without blanks and
+    marks, of three characters or more; and its domains' registered names of four or more. Parts of a name are no keys."""
+    said = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "https?://", " ")
+    whole = F.regexp_replace(said, r"\([^)]*\)", " ")
+    bare = lambda x: F.regexp_replace(x, r"[\s.,·/\-_:'\"]+", "")
+    names = F.array(bare(said), bare(whole), bare(F.regexp_replace(whole, LEGAL, " ")))
+    return F.array_union(_names_only(names, 3), _names_only(F.transform(_domains(said), registered_name), 4))
 
 
 def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -112,10 +139,43 @@ def same_organisation(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id", F.explode(org_keys(F.col("name"))).alias("key")).join(keys, "key", "left_semi").select("id").distinct()
 
 
+def org_tokens(names: DataFrame) -> DataFrame:
+    """token: what texts may call the organisations of names (name): the whole cell, its parts, what is in brackets and what is left
+    without them, each also without blanks and without legal forms, and domains with their registered names; two characters or more."""
+    said = F.regexp_replace(F.col("name"), "(?i)https?://", " ")
+    parts = F.split(said, r"[,/·;|]|\s+[-–]\s+|\n")
+    inner = F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(r"\(([^)]*)\)"), 1)))
+    outer = F.transform(parts, lambda x: F.regexp_replace(x, r"\([^)]*\)", " "))
+    domains = _domains(F.lower(said))
+    every = F.concat(F.array(said), parts, inner, outer, domains, F.transform(domains, registered_name))
+    trim = lambda x, marks: F.lower(F.regexp_replace(x, rf"^[{marks}]+|[{marks}]+$", ""))
+    plain = names.where("name IS NOT NULL").select(F.explode(every).alias("x")).select(trim(F.col("x"), r"\s.,·/\-_:'\"").alias("x"))
+    plain = plain.where(~F.col("x").isin("", *NO_NAME) & ~F.col("x").rlike("^[0-9]+$"))
+    bare = trim(F.regexp_replace("x", LEGAL, " "), r"\s.,·/\-")
+    bare = F.when((bare != "") & ~bare.isin(*NO_NAME), bare)
+    tokens = plain.select(F.explode(F.array_compact(F.array("x", bare))).alias("x"))
+    squeezed = tokens.select(F.explode(F.array("x", F.regexp_replace("x", r"\s+", ""))).alias("token"))
+    return squeezed.where(F.length("token") >= 2).distinct()
+
+
 def mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """id, token: single-word tokens that a text has as words."""
-    words = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z가-힣]+"), 0))).alias("token"))
-    return words.join(tokens.select(F.lower("token").alias("token")).distinct(), "token").select("id", "token")
+    """id, token: the tokens that texts (id, text) hold, in lower case.
+
+    A token of up to three Latin letters or digits must stand between other characters; any other may stand
+    anywhere, also across blanks. Texts and tokens meet on a token's first four characters, or as many as it has, and
+    what meets is held against the text; so no pair meets without them. Null text: nothing.
+    """
+    wanted = tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct()
+    short = F.col("token").rlike("^[a-z0-9]{1,3}$")
+    low = texts.select("id", F.lower("text").alias("low")).where("low IS NOT NULL")
+    words = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?<![a-z0-9])[a-z0-9]{1,3}(?![a-z0-9])"), 0))).alias("token"))
+    by_word = words.join(wanted.where(short), "token").select("id", "token")
+    both = low.withColumn("squeezed", F.regexp_replace("low", r"\s+", ""))
+    long = wanted.where(~short).withColumn("start", F.substring("token", 1, 4))
+    starts = F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in (2, 3, 4) for c in ("low", "squeezed")])
+    met = both.select("id", F.explode(F.array_distinct(starts)).alias("start")).join(long, "start").select("id", "token").distinct()
+    held = met.join(both, "id").where(F.contains("low", F.col("token")) | F.contains("squeezed", F.col("token")))
+    return by_word.unionByName(held.select("id", "token"))
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, column: str) -> DataFrame:

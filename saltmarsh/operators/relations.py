@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from saltmarsh.operators.order import numbered
 
 
 def counted(relations: DataFrame, evidence: DataFrame, posts: DataFrame, scope: Column) -> DataFrame:
@@ -67,7 +68,7 @@ def with_activity(relations: DataFrame, posts: DataFrame) -> DataFrame:
 
 def history(relations: DataFrame) -> DataFrame:
     """Relations with their place in time: first seen first, unknown ones last by count."""
-    return relations.where("n > 0").withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("first_at"), F.desc("n"), "id")))
+    return numbered(relations.where("n > 0"), F.asc_nulls_last("first_at"), F.desc("n"), F.asc("id")).withColumn("place", F.col("place").cast("int"))
 
 
 def hops(relations: DataFrame, center: int, cap: int = 16) -> DataFrame:
@@ -77,9 +78,9 @@ def hops(relations: DataFrame, center: int, cap: int = 16) -> DataFrame:
     """
     ends = _ends(relations).groupBy("node", "partner").agg(F.sum("n").alias("n"))
     first = ends.where(F.col("node") == center).select(F.col("partner").alias("node"), F.lit(1).alias("hop"), "n", F.lit(None).cast("long").alias("via"))
-    order = first.select(F.col("node").alias("mid"), F.row_number().over(Window.orderBy(F.desc("n"), "node")).alias("rank"))  # neighbours of one node
-    second = ends.join(order, ends["node"] == order["mid"]).where(F.col("partner") != center).select(F.col("partner").alias("node"), "n", "mid", "rank").join(first.select("node"), "node", "left_anti")
-    best = second.groupBy("node").agg(F.sum("n").alias("total"), F.max_by("mid", F.struct("n", (-F.col("rank")).alias("r"))).alias("via"))
+    order = first.select(F.col("node").alias("mid"), F.col("n").alias("of_mid"))
+    second = ends.join(order, ends["node"] == order["mid"]).where(F.col("partner") != center).select(F.col("partner").alias("node"), "n", "mid", "of_mid").join(first.select("node"), "node", "left_anti")
+    best = second.groupBy("node").agg(F.sum("n").alias("total"), F.max_by("mid", F.struct("n", "of_mid", (-F.col("mid")).alias("r"))).alias("via"))
     top = best.orderBy(F.desc("total"), "node").limit(cap).select("node", F.lit(2).alias("hop"), F.col("total").alias("n"), "via")
     return first.unionByName(top)
 

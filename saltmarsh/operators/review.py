@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from saltmarsh.operators.order import numbered
 from pyspark.sql.window import Window
 
 
@@ -72,12 +74,8 @@ def round_robin(rows: DataFrame, order: str, cursor: int, most: int) -> DataFram
 
     Positions come from a global sort and counts of its partitions, without gathering the rows in one task.
     """
-    sorted_rows = rows.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = sorted_rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
-    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    placed = sorted_rows.join(F.broadcast(starts), "_part")
-    turn = F.pmod(F.col("_start") + F.col("_within") - F.lit(cursor).cast("long"), F.col("_total"))
-    return placed.withColumn("turn", turn).where(F.col("turn") < most).drop("_part", "_within", "_start", "_total")
+    placed = numbered(rows, F.col(order), name="_place").withColumn("_total", F.lit(rows.count()))
+    return placed.withColumn("turn", F.pmod(F.col("_place") - 1 - F.lit(cursor).cast("long"), F.col("_total"))).where(F.col("turn") < most).drop("_place", "_total")
 
 
 def budget_left(spent: DataFrame, day: Column, cost: str, today: Column, limit: float, worst: float) -> DataFrame:

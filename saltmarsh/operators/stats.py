@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from saltmarsh.operators.order import numbered
 from saltmarsh.functions.times import month_label
 
 #: Label of rows without a value (fixed value).
@@ -45,18 +46,20 @@ def by_month(items: DataFrame, day: Column) -> DataFrame:
 def ranked(items: DataFrame, column: Column) -> DataFrame:
     """label, n, place: by count, the blank label last among equals, then by name."""
     counted = items.groupBy(label(column).alias("label")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), F.col("label") == BLANK, "label")
-    return counted.withColumn("place", F.row_number().over(order))
+    return numbered(counted, *_by_count()).withColumn("place", F.col("place").cast("int"))
+
+
+def _by_count() -> list[Column]:
+    return [F.desc("n"), (F.col("label") == BLANK).asc(), F.asc("label")]
 
 
 def top_with_others(items: DataFrame, column: Column, top: int, others: str = "others") -> DataFrame:
     """The top labels, and one row for the others with how many they are; place 0 for none."""
-    places = ranked(items, column)
-    kept = F.col("place") <= top
-    return (
-        places.groupBy(F.when(kept, F.col("label")).otherwise(others).alias("label"), F.when(kept, F.col("place")).otherwise(top + 1).alias("place"))
-        .agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
-    )
+    counted = items.groupBy(label(column).alias("label")).agg(F.count("*").alias("n"))
+    first = counted.orderBy(*_by_count()).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*_by_count())))  # top rows
+    first = first.select("label", "place", "n", F.lit(1).cast("long").alias("groups"))
+    rest = counted.join(F.broadcast(first.select("label")), "label", "left_anti").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 0")
+    return first.unionByName(rest.select(F.lit(others).alias("label"), F.lit(top + 1).alias("place"), "n", "groups"))
 
 
 def distinct_values(items: DataFrame, column: Column) -> DataFrame:

@@ -119,7 +119,7 @@ TERRITORIES_SQL = """territories AS (
         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE floor(abs(c_acctbal) / 31) END::DOUBLE AS threads,
         CASE WHEN c_custkey % 6 <> 0 THEN DATE '2023-11-01' + (c_custkey % 80)::INT END AS since,
         CASE WHEN c_custkey % 17 = 0 THEN DATE '2023-09-01' + (c_custkey % 200)::INT END AS until
-    FROM customer WHERE c_custkey < 150
+    FROM customer
 )"""
 
 
@@ -127,7 +127,7 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venues, on four islands."""
     c, money = F.col("c_custkey"), F.col("c_acctbal")
     day = lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int"))
-    return table(spark, sf_dir, "customer").where(c < 150).select(
+    return table(spark, sf_dir, "customer").select(
         c.alias("id"),
         (c % 4).alias("island"),
         F.col("c_name").alias("name"),
@@ -140,25 +140,25 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATIONS_SQL = """relations AS (
-    SELECT n_from * 1000 + n_to AS id, n_from, n_to,
+    SELECT n_from * 10000 + n_to AS id, n_from, n_to,
         CASE (n_from + n_to) % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'ally' WHEN 2 THEN 'resale' ELSE 'same' END AS kind,
         CASE WHEN (n_from + n_to) % 3 = 0 THEN 'estimated' ELSE 'confirmed' END AS confidence
-    FROM (SELECT DISTINCT user_id AS n_from, (user_id * 5 + event_id % 4 * 11 + 1) % 150 AS n_to FROM events WHERE event_id % 9 < 5)
+    FROM (SELECT DISTINCT user_id AS n_from, (user_id * 5 + event_id % 4 * 11 + 1) % 1500 AS n_to FROM events)
     WHERE n_from <> n_to
 ), evidence AS (
     SELECT DISTINCT r.id AS relation, e.event_id AS post
-    FROM relations r JOIN events e ON e.user_id = r.n_from AND (e.user_id * 5 + e.event_id % 4 * 11 + 1) % 150 = r.n_to
-    WHERE e.event_id % 9 = 1 AND r.id % 5 <> 0
+    FROM relations r JOIN events e ON e.user_id = r.n_from AND (e.user_id * 5 + e.event_id % 4 * 11 + 1) % 1500 = r.n_to
+    WHERE r.id % 5 <> 0
 )"""
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed links between venues: id, n_from, n_to, kind, confidence."""
     e, u = F.col("event_id"), F.col("user_id")
-    pairs = table(spark, sf_dir, "events").where(e % 9 < 5).select(u.alias("n_from"), ((u * 5 + e % 4 * 11 + 1) % 150).alias("n_to")).distinct()
+    pairs = table(spark, sf_dir, "events").select(u.alias("n_from"), ((u * 5 + e % 4 * 11 + 1) % 1500).alias("n_to")).distinct()
     both = F.col("n_from") + F.col("n_to")
     return pairs.where("n_from <> n_to").select(
-        (F.col("n_from") * 1000 + F.col("n_to")).alias("id"),
+        (F.col("n_from") * 10000 + F.col("n_to")).alias("id"),
         "n_from",
         "n_to",
         F.when(both % 4 == 0, "moved").when(both % 4 == 1, "ally").when(both % 4 == 2, "resale").otherwise("same").alias("kind"),
@@ -169,5 +169,5 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that show a relation: relation, post. A relation may have none."""
     e, u = F.col("event_id"), F.col("user_id")
-    links = table(spark, sf_dir, "events").where(e % 9 == 1).select((u * 1000 + (u * 5 + e % 4 * 11 + 1) % 150).alias("relation"), e.alias("post"), u.alias("n_from"), ((u * 5 + e % 4 * 11 + 1) % 150).alias("n_to"))
+    links = table(spark, sf_dir, "events").select((u * 10000 + (u * 5 + e % 4 * 11 + 1) % 1500).alias("relation"), e.alias("post"), u.alias("n_from"), ((u * 5 + e % 4 * 11 + 1) % 1500).alias("n_to"))
     return links.where("n_from <> n_to AND relation % 5 <> 0").select("relation", "post").distinct()

@@ -12,12 +12,12 @@ from saltmarsh.plans.registry import query, table
 ITEMS = f"WITH {ITEMS_SQL}"
 
 
-@query(f"""{ITEMS}, rows AS (SELECT uid, source || '|' || venue || '|' || uid % 50 AS key FROM items WHERE uid % 2 = 0), known AS (SELECT uid, source || '|' || venue || '|' || uid % 50 AS key FROM items WHERE uid % 6 = 0)
+@query(f"""{ITEMS}, rows AS (SELECT uid, source || '|' || venue || '|' || uid % 50 AS key FROM items), known AS (SELECT uid, source || '|' || venue || '|' || uid % 50 AS key FROM items WHERE uid % 6 = 0)
 SELECT key, min(uid) AS uid FROM rows WHERE uid NOT IN (SELECT uid FROM known) AND key NOT IN (SELECT key FROM known) GROUP BY key""")
 def join_anti_dedupe(spark, sf_dir):
     key = F.concat_ws("|", "source", "venue", (F.col("uid") % 50).cast("string"))
     rows = items(spark, sf_dir).select("uid", key.alias("key"))
-    return matching.new_rows(rows.where("uid % 2 = 0"), rows.where("uid % 6 = 0"), F.col("uid"))
+    return matching.new_rows(rows, rows.where("uid % 6 = 0"), F.col("uid"))
 
 
 @query("""WITH reg AS (SELECT s_suppkey AS id, s_name AS name, 'alias ' || s_suppkey % 40 AS alias FROM supplier),
@@ -93,15 +93,21 @@ def join_host_links(spark, sf_dir):
     return matching.hosts_named(pages, "body", "own", pages.where("id % 3 = 0").select(F.col("own").alias("host"))).withColumn("named", F.array_join("named", ","))
 
 
-@query("""SELECT DISTINCT p_partkey AS id FROM part, (SELECT 'gear' AS k UNION ALL SELECT 'widget') WHERE list_contains(string_split(p_name, ' '), k)""")
+#: Names of the parts' makers: with legal forms, as part of another name, and as a domain.
+@query("""WITH r AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 7 = 0)
+SELECT p_partkey AS id FROM part WHERE p_partkey % 5 <> 2 AND p_name IN (SELECT name FROM r)""")
 def join_same_org(spark, sf_dir):
-    left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return matching.same_organisation(left, spark.createDataFrame([("Gear Corp",), ("Widget Holdings",), ("abc",)], "name string"))
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    said = F.when(k == 0, F.concat("p_name", F.lit(" Co., Ltd."))).when(k == 1, F.concat(F.lit("(주)"), F.upper("p_name"))).when(k == 2, F.concat(F.lit("Other "), "p_name"))
+    said = said.when(k == 3, F.concat(F.lit("x (https://www."), F.replace("p_name", F.lit(" ")), F.lit(".co.kr/notice)"))).otherwise(F.concat("p_name", F.lit(" (KR)")))
+    return matching.same_organisation(part.select(F.col("p_partkey").alias("id"), said.alias("name")), part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name")))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣]+'))) AS token FROM documents) SELECT id, token FROM w WHERE token IN ('the', 'ing', 'der')""")
+@query("""WITH t AS (SELECT unnest(['ing', 'der', 'tion', 'der the', 'onth', '的', '是的', 'de la']) AS token),
+d AS (SELECT doc_id AS id, lower(text) AS low, regexp_replace(lower(text), '\\s+', '', 'g') AS squeezed FROM documents)
+SELECT id, token FROM d, t WHERE CASE WHEN regexp_full_match(token, '[a-z0-9]{1,3}') THEN regexp_matches(low, '(^|[^a-z0-9])' || token || '([^a-z0-9]|$)') ELSE contains(low, token) OR contains(squeezed, token) END AND length(token) >= 2""")
 def join_contains_org(spark, sf_dir):
-    tokens = spark.createDataFrame([("The",), ("ing",), ("der",)], "token string")
+    tokens = spark.createDataFrame([("ING",), ("der",), ("Tion",), ("der the",), ("onth",), ("是的",), ("de la",)], "token string")
     return matching.mentioning(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), tokens)
 
 
@@ -124,7 +130,7 @@ def join_reply_authors(spark, sf_dir):
 
 @query("""WITH r AS (SELECT p_partkey AS id, 'http://u/' || p_partkey % 500 AS url, p_name AS org, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'h' || p_partkey % 3 END AS handle, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'f' || p_partkey % 2 END AS forum FROM part),
 n AS (SELECT * FROM r WHERE id % 97 = 3), pairs AS (SELECT DISTINCT a.id AS row, b.id AS "case", a.url = b.url AS same, a.handle AS ah, b.handle AS bh, a.forum AS af, b.forum AS bf FROM r a JOIN n b
-ON a.url = b.url OR len(list_intersect(list_filter(string_split(a.org, ' '), lambda x: length(x) >= 4), list_filter(string_split(b.org, ' '), lambda x: length(x) >= 4))) > 0)
+ON a.url = b.url OR a.org = b.org)
 SELECT row, "case", CASE WHEN same THEN 'same' WHEN ah IS NULL OR bh IS NULL THEN 'unknown' WHEN ah <> bh THEN 'partly different' WHEN af IS NULL OR bf IS NULL THEN 'unknown' WHEN af <> bf THEN 'repost' ELSE 'same' END AS class FROM pairs""")
 def dup_case_classify(spark, sf_dir):
     p = F.col("p_partkey")

@@ -55,14 +55,14 @@ def rag_search(spark, sf_dir):
 
 
 @query(rf"""{WEIGHTS}, split AS (SELECT item_id AS question, string_split(text, ' ') AS w FROM benchmark),
-forms AS (SELECT question, k // 2 AS item, w[k + 1] AS form FROM split, range(4) AS r(k) WHERE k < len(w)),
+forms AS (SELECT question, k // 2 AS item, w[k + 1] AS form FROM (SELECT *, unnest(range(len(w))) AS k FROM split)),
 of_form AS (SELECT question, item, form, unnest(regexp_extract_all(lower(form), '{retrieval.TERM}')) AS term FROM forms),
 by_form AS (SELECT question, item, form, document, number, sum(weight) AS s FROM of_form JOIN weights USING (term) GROUP BY ALL),
 by_item AS (SELECT question, item, document, number, max(s) AS best FROM by_form GROUP BY ALL),
 added AS (SELECT question, document, number, 0.5 * sum(best) AS expand FROM by_item GROUP BY ALL)
 SELECT question, document, number, round(coalesce(scores.score, 0), 6) AS base, round(coalesce(expand, 0), 6) AS expand FROM scores FULL JOIN added USING (question, document, number)""")
 def rag_expansion(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(F.slice(F.split("text", " "), 1, 4)).alias("k", "form"))
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(F.split("text", " ")).alias("k", "form"))
     forms = words.select("question", F.floor(F.col("k") / 2).alias("item"), "form")
     both = retrieval.expanded_scores(scored(spark, sf_dir), forms, weighted(spark, sf_dir), KEYS)
     return both.select("question", *KEYS, F.round("base", 6).alias("base"), F.round("expand", 6).alias("expand"))

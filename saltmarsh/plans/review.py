@@ -85,13 +85,27 @@ def add_titles_alike(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", words.titles_alike(left, right).alias("alike"))
 
 
-@query("""SELECT doc_id, 'LEAK-' || doc_id || '|LEAK-7' AS ids, 'A (x, y)|B|C, see|D' AS links, 'v' || doc_id AS bare FROM documents WHERE doc_id <> 7""")
+#: Link lists, # standing for the row's number, and their entries joined by bars, as told by hand.
+LINKS = (
+    ("앞선곳:A# (원본, 2022~2023), 텔레그램:X", "앞선곳:A# (원본, 2022~2023)|텔레그램:X"),
+    ("포럼 DB: A · 텔레그램 DB: X# · 랜섬웨어 DB: Y", "포럼 DB: A|텔레그램 DB: X#|랜섬웨어 DB: Y"),
+    ("앞선곳:A (원본#\n텔레그램:B", "앞선곳:A (원본#|텔레그램:B"),
+    ("A (x (y, z), w#), B", "A (x (y, z), w#)|B"),
+    ("A (x · y#), B, 없음, -", "A (x · y#)|B"),
+    ("A (x, y#); B · ,(C, see\nD", "A (x, y#)|B|(C, see|D"),
+    ("a) b, c [d; e#, f] g", "a) b|c [d|e#, f] g"),
+    ("n# (" + "long, " * 200 + "end), m", "n# (" + "long, " * 200 + "end)|m"),
+    ("", ""),
+)
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id = 7 THEN 'LEAK-7' ELSE 'LEAK-' || doc_id || '|LEAK-7' END AS ids,
+replace(([{", ".join("'" + told + "'" for _, told in LINKS)}])[doc_id % 9 + 1], '#', doc_id::VARCHAR) AS links, 'v' || doc_id AS bare FROM documents""")
 def add_split_lists(spark, sf_dir):
-    ids = F.concat(F.lit(" LEAK-"), F.col("doc_id").cast("string"), F.lit(" ,LEAK- 7,,LEAK-"), F.col("doc_id").cast("string"), F.lit(","))
-    found = words.links(F.lit("A (x, y); B · ,(C, see\nD").cast("string"))
-    fixed = F.transform(found, lambda x: F.ltrim(x, F.lit("(")))
-    joined = F.replace(F.array_join(fixed, "|"), F.lit("C|see"), F.lit("C, see"))
-    return docs(spark, sf_dir).where("doc_id <> 7").select("doc_id", F.array_join(words.evidence_ids(ids), "|").alias("ids"), joined.alias("links"), words.without_date(F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit(" (2026-01-02)"))).alias("bare"))
+    number = F.col("doc_id").cast("string")
+    ids = F.concat(F.lit(" LEAK-"), number, F.lit(" ,LEAK- 7,,LEAK-"), number, F.lit(","))
+    said = F.replace(pick([text for text, _ in LINKS], F.col("doc_id")), F.lit("#"), number)
+    return docs(spark, sf_dir).select("doc_id", F.array_join(words.evidence_ids(ids), "|").alias("ids"), F.array_join(words.links(said), "|").alias("links"), words.without_date(F.concat(F.lit("v"), number, F.lit(" (2026-01-02)"))).alias("bare"))
 
 
 NAMES = ("https://t.me/Chan_One", "@chan_one", "t.me/s/CHAN_ONE?x=1", "https://t.me/+abcdef", "t.me/joinchat/xyz", "ab", None)

@@ -11,9 +11,9 @@ from saltmarsh.plans.registry import query, table
 WITH = f"WITH {ITEMS_SQL}"
 
 
-@query(f"{WITH} SELECT uid AS doc_id, substr(sha1(concat_ws('|', lower(source), venue, '', lower(trim(actor)), lower(target_org), lower(trim(substr(text, 1, 30))))), 1, 16) AS uid FROM items")
+@query(f"{WITH} SELECT uid AS doc_id, substr(sha1(concat_ws('|', lower(source), venue, '', lower(trim(actor)), lower(target_org), lower(trim(text)))), 1, 16) AS uid FROM items")
 def store_uid(spark, sf_dir):
-    key = store.uid(F.col("source"), F.col("venue"), F.lit(None).cast("string"), F.col("actor"), F.col("target_org"), F.substring("text", 1, 30))
+    key = store.uid(F.col("source"), F.col("venue"), F.lit(None).cast("string"), F.col("actor"), F.col("target_org"), F.col("text"))
     return items(spark, sf_dir).select(F.col("uid").alias("doc_id"), key.alias("uid"))
 
 

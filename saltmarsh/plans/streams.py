@@ -69,3 +69,12 @@ def track_catch_up(spark, sf_dir):
 def store_fresh(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("seen"))
     return schedule.fresh(rows, "seen", F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), 14).select("event_id")
+
+
+@query("SELECT 'nation' AS batch, n_nationkey::BIGINT AS id FROM nation")
+def flt_resync_surge(spark, sf_dir):
+    """Batches of 25 rows, of thousands, and of a first run: only the first is announced."""
+    rows = [("nation", "n_nationkey", False), ("part", "p_partkey", False), ("region", "r_regionkey", True)]
+    batches = [(table(spark, sf_dir, name).select(F.lit(name).alias("batch"), F.col(key).cast("long").alias("id")), first) for name, key, first in rows]
+    parts = [schedule.announced(batch, first) for batch, first in batches]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -32,9 +32,10 @@ def text_bare_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.bare_key(F.col("text")).alias("key"), text.handle_key(F.col("text")).alias("handle"))
 
 
-@query("SELECT doc_id, trim(lower(nfc_normalize(text)), ' ') AS key FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query()
 def text_norm_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", text.name_key(F.col("text")).alias("key"))
+    """DuckDB has no compatibility form, so there is no SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.col("text")).alias("key"))
 
 
 @query()
@@ -159,11 +160,10 @@ def flt_two_axis(spark, sf_dir):
     return claims(spark, sf_dir).where(classify.meets(kr, "likely", classify.KR_TIERS) | classify.meets(supply, "critical", classify.SUPPLY_TIERS)).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE ([true, false, true, true, false, false, false, false, true, true, true, true])[doc_id % 12 + 1] AND {expected(KR_EXPECTED)} <> 'confirmed' AND doc_id % 12 NOT IN (1, 4, 5, 6)")
+@query(f"SELECT doc_id FROM documents WHERE ([true, false, true, true, false, false, false, false, true, true, true, true])[doc_id % 12 + 1] AND {expected(KR_EXPECTED)} NOT IN ('confirmed', 'strong', 'likely') AND doc_id % 12 NOT IN (1, 4, 5, 6)")
 def flt_foreign(spark, sf_dir):
     tier = classify.korea_tier(*map(F.col, ("victim", "website", "sector", "description", "nation")))
-    code = text.country(F.col("nation"))
-    return claims(spark, sf_dir).where((code != "") & (code != "KR") & (tier != "confirmed")).select("doc_id")
+    return claims(spark, sf_dir).where(classify.foreign(text.country(F.col("nation")), tier)).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN 'high' WHEN doc_id % 4 = 1 THEN 'medium' ELSE 'low' END AS risk FROM documents")

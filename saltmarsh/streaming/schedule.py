@@ -36,14 +36,14 @@ def rests(tries: DataFrame, key: str, time: str, order: str, ok: Column, days: t
     return found.withColumnsRenamed({"key": key, "order": order})
 
 
-def announced(batch: DataFrame, first_run: bool, order: list[Column], most: int) -> DataFrame:
-    """What a batch may announce: nothing on the first run, whose rows are the baseline; the first most rows of a later one.
+def announced(batch: DataFrame, first_run: bool, most: int = 30) -> DataFrame:
+    """What a batch may announce: all its rows; or none on the first run, and none of a batch of over most rows.
 
-    A resync that brings in more than most rows at once is announced in part only; the rows themselves are all stored.
+    Both are a baseline: so many new rows at once come from a resync after a gap. The rows themselves are all stored.
     """
-    if first_run:
+    if first_run or batch.limit(most + 1).count() > most:
         return batch.limit(0)
-    return batch.orderBy(*order).limit(most)
+    return batch
 
 
 def fresh(stored: DataFrame, seen: str, now: Column, days: int) -> DataFrame:

@@ -4,12 +4,17 @@ import datetime
 import decimal
 import math
 import re
+import unicodedata
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from saltmarsh import plans
-from saltmarsh.functions import text
+from saltmarsh.functions import classify, review, sizes, text
+from saltmarsh.operators import matching
+from saltmarsh.operators.order import numbered
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -61,3 +66,51 @@ def test_personal_data(spark):
                 want = left
         assert (r.m.masked, list(r.m.labels), r.again) == (want, labels, want)
     assert [r.m.masked for r in got][:3] == ["[이메일] [이메일]", "call [전화번호] or [전화번호]", "[주민등록번호]"]
+
+
+def told(spark, values, column):
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, t string").select("k", column(F.col("t")).alias("x")).collect()
+    return [r.x for r in sorted(rows, key=lambda r: r.k)]
+
+
+def test_link_lists(spark):
+    said = [text for text, _ in plans.review.LINKS] + [None]
+    assert told(spark, said, review.links) == [x.split("|") if x else [] for _, x in plans.review.LINKS] + [[]]
+
+
+def test_claims_for_display(spark):
+    said = ["5천만 건", "1억 2천만", "20 000 000 rows", "1.2M records", "관리자 3명 포함 120만 건", "파일 5개, 12GB", "255GB 유출", "2026년 자료", None]
+    assert told(spark, said, sizes.display) == ["5000만", "1.2억", "2000만", "120만", "120만", "12GB", "255GB", None, None]
+
+
+def test_foreign_claims(spark):
+    said = ["US confirmed", "US likely", "US review", "US none", "KR none", "UNKNOWN none", "N/A none", "- none", " none"]
+    foreign = told(spark, said, lambda t: classify.foreign(F.split(t, " ")[0], F.split(t, " ")[1]))
+    assert foreign == [False, False, True, True, False, False, False, False, False]
+
+
+def test_whole_names_only(spark):
+    pairs = [("(주)가나다라", "가나다라 주식회사", True), ("x (ganada.co.kr)", "https://www.ganada.co.kr/notice", True), ("한국abc대학교", "abc 코리아", False), ("Seoul Bank", "Hana Bank", False), ("Acme Co., Ltd.", "ACME", True), (None, "a", False)]
+    for left, right, same in pairs:
+        found = matching.same_organisation(spark.createDataFrame([(1, left)], "id int, name string"), spark.createDataFrame([(right,)], "name string"))
+        assert (found.count() == 1) == same, (left, right)
+
+
+def test_texts_that_name_organisations(spark):
+    names = ["Acme Co., Ltd.", "X (acme.co.kr)", "Alpha / Beta", "www.ganada.co.kr", "https://shop.lamaba.com", "가나", "SK", None, ""]
+    hits = ["포럼: F Acme DB", "acme.co.kr 재게시", "Beta 유출", "ganada 회원", "lamaba 판매", "가나 회원", "SK 텔레콤"]
+    misses = ["포럼: XForum https://xforum.onion 이전", "SKY forum", "Darkforums 제휴", "Ltd 공지", "", None]
+    tokens = matching.org_tokens(spark.createDataFrame([(n,) for n in names], "name string"))
+    found = matching.mentioning(spark.createDataFrame(list(enumerate(hits + misses)), "id int, text string"), tokens)
+    assert {r.id for r in found.collect()} == set(range(len(hits)))
+
+
+def test_compatibility_form(spark):
+    said = ["Ｆｕｌｌ　Width", "ﬁle ①", "é́", "ㅎㅏㄴ", " A ", None]
+    assert told(spark, said, text.name_key) == [unicodedata.normalize("NFKC", x or "").lower().strip(" ") for x in said]
+
+
+def test_places_without_one_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    found = numbered(rows, F.desc("v")).collect()
+    assert sorted((r.place, r.v) for r in found) == [(k + 1, 999 - k) for k in range(1000)]

@@ -13,11 +13,13 @@ def test_first_run_is_quiet_and_keys_come_back_later(spark, tmp_path):
     said = []
 
     def put(batch, number):
-        said.append(sorted(r.id for r in schedule.announced(batch, number == 0, [F.col("id")], 1).collect()))
+        said.append(sorted(r.id for r in schedule.announced(batch, number == 0, 2).collect()))
 
     stream = monitor.new_rows(spark, folder, spark.read.parquet(folder).schema, files_a_batch=1)
     stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    assert said[0] == [] and [len(s) for s in said[1:5]] == [1, 1, 1, 1]
+    assert said[0] == [] and [len(s) for s in said[1:5]] == [2, 2, 2, 2]
+    batch = spark.range(31)
+    assert schedule.announced(batch, False).count() == 0 and schedule.announced(batch.limit(30), False).count() == 30
     stream = monitor.new_rows(spark, folder, spark.read.parquet(folder).schema, files_a_batch=1)
     keys = [r.key for r in monitor.caught_up(schedule.forgetful(stream, "at", ["key"]), "forgetful").collect()]
     assert sorted(set(keys)) == ["a", "b", "c"] and keys.count("a") == 2
