@@ -214,6 +214,8 @@ BAND, BANDS = 6, 20
 FAR = 24
 #: A leader's set of shingles goes with so many of its members at a time.
 WITH_LEADER = 512
+#: Bits of the parities of a set: a shingle turns the bit of its hash by this number.
+PARITY = 1024
 
 _seeds = np.random.default_rng(42).integers(0, 1 << 64, (2, BAND * BANDS, 1), dtype=np.uint64)
 
@@ -248,11 +250,18 @@ def sketches(docs: DataFrame, row: str, text_col: str, words: int) -> DataFrame:
     return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, row: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """row and shingles, each once, of the texts whose rows are wanted (row), and of a few others.
+def _texts_of(docs: DataFrame, row: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """row and text of the rows of docs that are wanted (row), and of a few others.
 
-    Which are wanted is broadcast as bucket numbers, so texts are neither shuffled nor, unless wanted, cut into shingles.
+    Which are wanted is broadcast as bucket numbers, so no text is shuffled.
     """
+    marks = wanted.select(bucket("row").alias("bucket")).distinct()
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")).withColumn("bucket", bucket("row"))
+    return texts.join(F.broadcast(marks), "bucket", "left_semi").select("row", "text")
+
+
+def shingle_sets(docs: DataFrame, row: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """row and shingles, each once, of the texts whose rows are wanted (row), and of a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +271,38 @@ def shingle_sets(docs: DataFrame, row: str, text_col: str, words: int, wanted: D
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["row", "shingles"])
 
-    marks = wanted.select(bucket("row").alias("bucket")).distinct()
-    texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")).withColumn("bucket", bucket("row"))
-    return texts.join(F.broadcast(marks), "bucket", "left_semi").select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+    return _texts_of(docs, row, text_col, wanted).mapInArrow(run, "row long, shingles array<long>")
+
+
+def parity(distinct: np.ndarray) -> bytes:
+    """PARITY bits: whether an odd number of the shingles falls on each.
+
+    The parities of two sets differ where an odd number of the shingles that only one of them has falls. So they
+    differ in at most as many bits as there are such shingles: a bound that holds without exception.
+    """
+    fallen = np.bincount((distinct & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
+
+
+def parities(docs: DataFrame, row: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """row and parity of the sets of shingles of the texts whose rows are wanted (row), and of a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parity(np.unique(shingles(text.as_py(), words))) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "parity"])
+
+    return _texts_of(docs, row, text_col, wanted).mapInArrow(run, "row long, parity binary")
+
+
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes whose parities are so many bits apart can have a Jaccard similarity of similarity.
+
+    With apart shingles or more outside the intersection, that is (size_a + size_b - apart) / 2 at most, and the union
+    (size_a + size_b + apart) / 2 at least.
+    """
+    total = size_a + size_b
+    return total - apart >= similarity * (total + apart) - 1e-6
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -326,12 +364,14 @@ def _leaders(members: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def _unlinked(members: DataFrame) -> DataFrame:
-    """src, dst: pairs within a key of members (key, row, fp, size, chunks, own, component) from different components,
-    with fingerprints FAR apart at most. Each pair of a key's chunks is a cell; distances are counted bit plane by bit plane."""
+def _unlinked(members: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: pairs within a key of members (key, row, fp, size, chunks, own, component, parity) from different components,
+    with fingerprints FAR apart at most, and parities that similarity allows. Each pair of a key's chunks is a cell;
+    distances of fingerprints are counted bit plane by bit plane."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, side, row, fp, size, component in _by_cell(batches):
+        for cell, side, row, fp, size, component, bits in _by_cell(batches):
+            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
             borders = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
             fp = fp.view(np.uint64)
             for start, end in zip(borders.tolist(), borders[1:].tolist(), strict=False):
@@ -348,11 +388,16 @@ def _unlinked(members: DataFrame) -> DataFrame:
                     keep = (component[a] != component[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
                     if side[start] == 0:
                         keep &= row[a] < row[b]
+                    a, b = a[keep], b[keep]
+                    keep = np.concatenate([np.zeros(0, bool), *(
+                        may_be_similar(size[x], size[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), similarity)
+                        for x, y in ((a[j : j + 65536], b[j : j + 65536]) for j in range(0, len(a), 65536))
+                    )])
                     yield pa.RecordBatch.from_arrays([pa.array(row[a[keep]]), pa.array(row[b[keep]])], ["src", "dst"])
 
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
-    cells = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "row", "fp", "size", "component")
+    cells = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "row", "fp", "size", "component", "parity")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
 
 
@@ -387,8 +432,8 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     min-hashes are candidates. Equal sets are compared once. Within a band's key, chunk rows at a time elect the row whose
     fingerprint is nearest to the bits that most have; leaders of a key's chunks elect theirs. Each row is first compared with
     that of its leaders that leads most rows, then with those that it is not yet linked to. Where a key's rows are then not all
-    linked, its rows from different groups are compared by the bit-sliced distance of their fingerprints, and those within FAR
-    bits by their sets. So a group of copies gives a link or so a
+    linked, its rows from different groups are compared by the bit-sliced distance of their fingerprints, those within FAR
+    bits by the parities of their sets, which rule out only what cannot be similar, and the rest by the sets. So a group of copies gives a link or so a
     row and not all its pairs, no key or leader stays in one task, and the sets themselves decide on each link.
 
     Null text: as empty. Texts without words are equal. Empty table: empty result.
@@ -418,8 +463,9 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     linked = linked.unionByName(written(similar_pairs(crossing, docs, row, text_col, words, similarity), "near-crossing"))
     placed = entries.join(_components_of(linked), "row", "left").withColumn("component", F.coalesce("component", "row"))
     apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
-    rest = shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi")
-    also = written(similar_pairs(_unlinked(rest), docs, row, text_col, words, similarity), "near-also")
+    rest = written(shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi"), "near-rest")
+    rest = rest.join(parities(docs, row, text_col, words, rest), "row")
+    also = written(similar_pairs(_unlinked(rest, similarity), docs, row, text_col, words, similarity), "near-also")
     found = components(linked.unionByName(also))
     of_set = whole.join(found, F.col("row") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
     of_set = written(of_set.select("set_key", "n", F.coalesce("component", "row").alias("group")), "near-groups")
