@@ -2,6 +2,8 @@
 
 import datetime
 import decimal
+import hashlib
+import hmac
 import math
 import re
 import unicodedata
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh import plans
-from saltmarsh.functions import classify, review, sizes, text
+from saltmarsh.functions import classify, review, sizes, text, values
 from saltmarsh.operators import matching
 from saltmarsh.operators.order import numbered
 
@@ -114,3 +116,24 @@ def test_places_without_one_task(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
     found = numbered(rows, F.desc("v")).collect()
     assert sorted((r.place, r.v) for r in found) == [(k + 1, 999 - k) for k in range(1000)]
+
+
+def test_keyed_fingerprints(spark):
+    said = ["a", "가나 " * 100, "", None]
+    for key in ("k", "long key " * 20):
+        assert told(spark, said, lambda t: values.fingerprint(t, key)) == [hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest() if x else None for x in said]
+    assert told(spark, ["a"], lambda t: values.fingerprint(t, "")) == [None]
+
+
+def test_rounding_of_halves(spark):
+    assert told(spark, ["62.5", "2.675", "1.005", "-0.5", "0.285", None], lambda t: values.rounded(t.cast("double"), 2)) == [62.5, 2.68, 1.01, -0.5, 0.29, None]
+    assert told(spark, ["62.5", "-2.5", "0.49999999999999994"], lambda t: values.rounded(t.cast("double"))) == [63, -3, 0]
+
+
+def test_nearest_cells(spark):
+    """Points all over the plane, below zero too, go to a cell whose middle no neighbour's middle is nearer than."""
+    points = spark.range(4000).select((F.rand(1) * 60 - 30).alias("x"), (F.rand(2) * 60 - 30).alias("y"))
+    at = points.withColumn("c", values.cell_at(F.col("x"), F.col("y"), 2.0)).select("x", "y", "c.col", "c.row")
+    for r in at.collect():
+        gap = lambda col, row: math.dist((r.x, r.y), (2 * 3**0.5 * (col + 0.5 * (row & 1)), 3.0 * row))
+        assert gap(r.col, r.row) <= min(gap(r.col + a, r.row + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) + 1e-9
