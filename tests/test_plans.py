@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh import plans
 from saltmarsh.functions import classify, review, sizes, text, values
-from saltmarsh.operators import matching
+from saltmarsh.operators import matching, reports
 from saltmarsh.operators.order import numbered
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +137,18 @@ def test_nearest_cells(spark):
     for r in at.collect():
         gap = lambda col, row: math.dist((r.x, r.y), (2 * 3**0.5 * (col + 0.5 * (row & 1)), 3.0 * row))
         assert gap(r.col, r.row) <= min(gap(r.col + a, r.row + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) + 1e-9
+
+
+def test_observations_of_unknown_states(spark):
+    schema = "uid int, at timestamp, src string, state string, countdown string, expiry timestamp"
+    for src, state in (("agg", "gone"), ("else", "연장"), (None, "연장"), ("agg", None)):
+        with pytest.raises(Exception, match="unknown"):
+            reports.recorded(spark.createDataFrame([(1, None, src, state, None, None)], schema)).collect()
+    assert reports.recorded(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rechecks_without_a_hidden_list(spark):
+    questions = spark.createDataFrame([(1, ["b", "a"]), (2, ["x"]), (3, None)], "question int, prints array<string>")
+    shown = spark.createDataFrame([("a", "A", 2), ("b", "B2", 2), ("b", "B1", 1)], "print string, row string, place int")
+    found = {r.question: (r.branch, r.row) for r in reports.rechecked(questions, shown, None).collect()}
+    assert found == {1: ("shown", "B1"), 2: ("unchecked", None), 3: ("unchecked", None)}
