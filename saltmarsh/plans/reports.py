@@ -107,10 +107,10 @@ def rag_question_kinds(spark, sf_dir):
 REVIEWS, KOREAN = ("사건 O", "사건 X", "미검토", None), ("직접", "간접", "미확인", None, "")
 
 
-@query(f"""SELECT part, count(*) AS n FROM (SELECT CASE WHEN r = '사건 X' THEN '무관' WHEN k IN ('직접', '간접') OR r = '사건 O' THEN '목록' WHEN n_chars % 2 = 0 AND coalesce(lang, '') <> 'ko' THEN '신호 없음' ELSE '미확인' END AS part
+@query(f"""SELECT part, count(*) AS n FROM (SELECT CASE WHEN r = '사건 X' THEN '무관' WHEN k IN ('직접', '간접') OR r = '사건 O' THEN '목록' WHEN n_chars % 2 = 0 AND coalesce(lang, '') <> 'de' THEN '신호 없음' ELSE '미확인' END AS part
 FROM (SELECT *, {chosen(REVIEWS, 'doc_id')} AS r, {chosen(KOREAN, 'doc_id')} AS k FROM documents)) GROUP BY part""")
 def agg_brief_parts(spark, sf_dir):
-    part = places.brief_part(pick(REVIEWS, F.col("doc_id")), pick(KOREAN, F.col("doc_id")), F.when(F.col("n_chars") % 2 != 0, "domain"), F.when(F.col("lang") == "ko", "KR"))
+    part = places.brief_part(pick(REVIEWS, F.col("doc_id")), pick(KOREAN, F.col("doc_id")), F.when(F.col("n_chars") % 2 != 0, "domain"), F.when(F.col("lang") == "de", "KR"))
     return docs(spark, sf_dir).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
@@ -187,10 +187,10 @@ def store_recorded(spark, sf_dir):
     return reports.recorded(arrivals).select("event_id", "event_type", "expiry")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'ko')")
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'de' AND n_chars % 4 = 0)")
 def set_kept_answers(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", "source")
-    return reports.kept_answers(rows, docs(spark, sf_dir).where("lang = 'ko'"), "source")
+    return reports.kept_answers(rows, docs(spark, sf_dir).where("lang = 'de' AND n_chars % 4 = 0"), "source")
 
 
 @query("SELECT event_id, user_id AS uid, c_name, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id")
@@ -199,7 +199,7 @@ def join_observed_items(spark, sf_dir):
     return reports.observed_items(observations, table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "uid"), ["c_name", "c_mktsegment"])
 
 
-@query("""SELECT page_id, url FROM pages WHERE contains(lower(url), 'korea') OR contains(lower(url), '/ko/') OR contains(lower(url), '.kr') ORDER BY page_id % 7 DESC, page_id LIMIT 20""")
+@query("""SELECT page_id, url FROM pages WHERE contains(lower(url), 'korea') OR contains(lower(url), '/de/') OR contains(lower(url), '.kr') ORDER BY page_id % 7 DESC, page_id LIMIT 20""")
 def flt_newest_korean(spark, sf_dir):
-    title = F.replace(F.col("url"), F.lit("/ko/"), F.lit("/Korea/"))
+    title = F.replace(F.col("url"), F.lit("/de/"), F.lit("/Korea/"))
     return reports.newest(table(spark, sf_dir, "pages"), places.names_korea(title), F.col("page_id") % 7, F.col("page_id"), 20).select("page_id", "url")
