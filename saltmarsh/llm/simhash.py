@@ -231,8 +231,8 @@ def bands(distinct: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, row: str, text_col: str, words: int) -> DataFrame:
-    """row, fp, size (of the set of shingles), set_key and bands of each text."""
-    names = ["row", "fp", "size", "set_key", "bands"]
+    """row, fp, size (of the set of shingles), set_key, bands and parity of each text."""
+    names = ["row", "fp", "size", "set_key", "bands", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,13 +241,13 @@ def sketches(docs: DataFrame, row: str, text_col: str, words: int) -> DataFrame:
                 for text in some.column(1):
                     every = shingles(text.as_py(), words)
                     own = np.unique(every)
-                    found.append((majority(every), len(own), xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63), bands(own)))
-                fps, sizes, keys, of_bands = zip(*found, strict=True)
-                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(of_bands, pa.list_(pa.int64()))]
+                    found.append((majority(every), len(own), xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63), bands(own), parity(own)))
+                fps, sizes, keys, of_bands, parities = zip(*found, strict=True)
+                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (of_bands, parities))]
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns], names)
 
     texts = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>")
+    return texts.mapInArrow(run, "row long, fp long, size long, set_key long, bands array<long>, parity array<long>")
 
 
 def _texts_of(docs: DataFrame, row: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -274,28 +274,17 @@ def shingle_sets(docs: DataFrame, row: str, text_col: str, words: int, wanted: D
     return _texts_of(docs, row, text_col, wanted).mapInArrow(run, "row long, shingles array<long>")
 
 
-def parity(distinct: np.ndarray) -> bytes:
-    """PARITY bits: whether an odd number of the shingles falls on each.
+def parity(distinct: np.ndarray) -> np.ndarray:
+    """PARITY bits, 64 to a number: whether an odd number of the shingles falls on each.
 
     The parities of two sets differ where an odd number of the shingles that only one of them has falls. So they
     differ in at most as many bits as there are such shingles: a bound that holds without exception.
     """
     fallen = np.bincount((distinct & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
-    return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
+    return np.packbits((fallen & 1).astype(np.uint8)).view(np.int64)
 
 
-def parities(docs: DataFrame, row: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """row and parity of the sets of shingles of the texts whose rows are wanted (row), and of a few others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [parity(np.unique(shingles(text.as_py(), words))) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "parity"])
-
-    return _texts_of(docs, row, text_col, wanted).mapInArrow(run, "row long, parity binary")
-
-
-def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+def may_be_similar[T: (np.ndarray, Column)](size_a: T, size_b: T, apart: T, similarity: float) -> T:
     """Whether sets of these sizes whose parities are so many bits apart can have a Jaccard similarity of similarity.
 
     With apart shingles or more outside the intersection, that is (size_a + size_b - apart) / 2 at most, and the union
@@ -371,7 +360,7 @@ def _unlinked(members: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, side, row, fp, size, component, bits in _by_cell(batches):
-            bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+            bits = np.stack(bits).view(np.uint64)
             borders = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
             fp = fp.view(np.uint64)
             for start, end in zip(borders.tolist(), borders[1:].tolist(), strict=False):
@@ -401,6 +390,15 @@ def _unlinked(members: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
 
 
+def possible_pairs(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) without those that the parities of their sets, from sketches() of all rows, rule out."""
+    led = pairs.groupBy("dst").count().join(each.select(F.col("row").alias("dst"), F.col("size").alias("size_dst"), F.col("parity").alias("of_dst")), "dst")
+    met = pairs.join(each.select(F.col("row").alias("src"), F.col("size").alias("size_src"), F.col("parity").alias("of_src")), "src")
+    met = shared_apart(met, led, ["dst"], "count", pairs.count(), "inner")
+    apart = F.aggregate(F.zip_with("of_src", "of_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    return met.where(may_be_similar(F.col("size_src"), F.col("size_dst"), apart, similarity)).select("src", "dst")
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, row: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """The pairs (src, dst) of rows of docs whose sets of shingles have a Jaccard similarity of similarity or more.
 
@@ -455,16 +453,18 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     pairs = written(pairs.distinct(), "near-candidates")
     total, led = pairs.count(), pairs.groupBy("dst").count()
     best = shared_apart(pairs, led, ["dst"], "count", total, "inner").groupBy("src").agg(F.max_by("dst", F.struct("count", F.negate("dst"))).alias("dst"))
+    best = possible_pairs(written(best, "near-best"), each, similarity)
     linked = written(similar_pairs(best, docs, row, text_col, words, similarity), "near-linked")
     now = _components_of(linked)
     of_dst = led.join(now, led.dst == now.row, "left").select("dst", "count", F.coalesce("component", "dst").alias("of_dst"))
     crossing = shared_apart(pairs, of_dst, ["dst"], "count", total, "inner").join(now, F.col("src") == F.col("row"), "left")
     crossing = crossing.where(F.col("of_dst") != F.coalesce("component", "src")).select("src", "dst")
+    crossing = possible_pairs(written(crossing, "near-crossed"), each, similarity)
     linked = linked.unionByName(written(similar_pairs(crossing, docs, row, text_col, words, similarity), "near-crossing"))
     placed = entries.join(_components_of(linked), "row", "left").withColumn("component", F.coalesce("component", "row"))
     apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     rest = written(shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi"), "near-rest")
-    rest = rest.join(parities(docs, row, text_col, words, rest), "row")
+    rest = rest.join(each.select("row", "parity"), "row")
     also = written(similar_pairs(_unlinked(rest, similarity), docs, row, text_col, words, similarity), "near-also")
     found = components(linked.unionByName(also))
     of_set = whole.join(found, F.col("row") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
