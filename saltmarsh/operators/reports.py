@@ -35,12 +35,19 @@ def channel_targets(channels: DataFrame, pages: DataFrame) -> DataFrame:
     kinds = ("numbers", "names", "title")
 
     def keys(rows: DataFrame, *columns: str) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in enumerate(("numbers", "names"))], F.struct(F.lit(2).alias("kind"), F.array(F.lower(F.trim("title"))).alias("keys")))
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in enumerate(kinds[:2])])
         parts = rows.select(*columns, F.inline(each)).select(*columns, "kind", F.explode("keys").alias("key"))
         return parts.where("key <> ''").distinct()
 
     met = keys(channels, "channel", "selected").join(keys(pages, "page"), ["kind", "key"]).select("channel", "kind", "page", "selected").distinct()
     counts = met.groupBy("channel", "kind").agg(F.count("*").alias("matches"), F.min("page").alias("only"), F.max(F.coalesce(F.col("page") == F.col("selected"), F.lit(False))).alias("picked"))
+    # A title may be common to many on both sides, so its pages are counted before they meet channels.
+    titled = pages.select(F.lower(F.trim("title")).alias("key"), "page").where("key <> ''").distinct()
+    of_title = titled.groupBy("key").agg(F.count("*").alias("matches"), F.min("page").alias("only"))
+    named = channels.select("channel", "selected", F.lower(F.trim("title")).alias("key")).join(of_title, "key")
+    chosen = titled.select("key", F.col("page").alias("selected"), F.lit(True).alias("_picked"))
+    named = named.join(chosen, ["key", "selected"], "left")
+    counts = counts.unionByName(named.select("channel", F.lit(2).alias("kind"), "matches", "only", F.coalesce("_picked", F.lit(False)).alias("picked")))
     best = counts.groupBy("channel").agg(F.min(F.struct("kind", "matches", "only", "picked")).alias("b"))
     rows = channels.select("channel", "selected").join(best, "channel", "left")
     kind, n, picked = F.col("b.kind"), F.coalesce("b.matches", F.lit(0)), F.col("b.picked")
