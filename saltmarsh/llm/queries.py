@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, sharding, simhash
+from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, permutation_index, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,6 +158,11 @@ FROM kept
 """
 
 
+@query
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
