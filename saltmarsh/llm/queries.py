@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, permutation_index, sharding, simhash
+from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, permutation_index, prefix_trie, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,6 +163,49 @@ def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.with_borrowed_heads(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH said AS (
+    SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (  -- the table of CRC-32: a byte's remainder by the reversed polynomial
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS rest
+    FROM range(256) r(b)
+), crcs AS (SELECT list(rest ORDER BY b) AS rests FROM bits
+), talks AS (
+    SELECT conv_id, list(said ORDER BY k) AS own,
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda d: unicode(d)::BIGINT) AS digits
+    FROM said GROUP BY conv_id
+), heads AS (
+    SELECT conv_id, own, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, digits), lambda x, d: xor(x // 256, rests[xor(x % 256, d) + 1])), 4294967295) % 9 AS h
+    FROM talks, crcs
+), rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(b.own, [])[:a.h], a.own[a.h + 1:]) AS turns FROM heads a LEFT JOIN heads b ON b.conv_id = a.base
+), prefixes AS (
+    SELECT conv_id, len(turns) AS n, d, turns[:d] AS path FROM rebuilt, unnest(range(len(turns) + 1)) u(d)
+), nodes AS (
+    SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+        CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(path[d].text) END AS saved
+    FROM prefixes GROUP BY d, path
+), children AS (SELECT d - 1 AS d, path[:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), known AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, path)
+), rolled AS (
+    SELECT u.d, path[:u.d] AS path, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM known, unnest(range(known.d + 1)) u(d) GROUP BY ALL
+)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+    n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM known k JOIN rolled r ON r.d = k.d AND r.path = k.path LEFT JOIN nodes p ON p.d = k.d - 1 AND p.path = k.path[:k.d - 1]
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
