@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, permutation_index, prefix_trie, sharding, simhash
+from saltmarsh.llm import byte_bpe, chat_format, crf_quality, exact_dedup, html_extract, line_dedup, lm_scoring, packing, permutation_index, prefix_trie, sharding, simhash, token_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -206,6 +206,12 @@ FROM known k JOIN rolled r ON r.d = k.d AND r.path = k.path LEFT JOIN nodes p ON
 """
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
