@@ -13,11 +13,14 @@ def by_month(events: DataFrame, written: str, tie: str) -> DataFrame:
     """events with place (newest first), month as written, its place in the month and the month's number of events.
 
     A month's events stand next to each other, as the order begins with the text; so its first place tells their places
-    in it, and no month's events meet in one task.
+    in it, and no month's events meet in one task. Events without a time are a month of their own, null. Months are as many
+    as texts begin differently, so nothing is broadcast on purpose; a large month is for adaptive execution to split.
     """
     placed = numbered(events, *newest_first(F.col(written), F.col(tie))).withColumn("month", F.substring(written, 1, 7))
     months = placed.groupBy("month").agg(F.min("place").alias("_first"), F.count("*").alias("in_month"))
-    return placed.join(F.broadcast(months), "month").withColumn("place_in_month", F.col("place") - F.col("_first") + 1).drop("_first")
+    months = months.withColumnRenamed("month", "_month")
+    met = placed.join(months, F.col("month").eqNullSafe(F.col("_month")))
+    return met.withColumn("place_in_month", F.col("place") - F.col("_first") + 1).drop("_first", "_month")
 
 
 def touching(relations: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from saltmarsh.sources.working import new_path
+
 
 def new_rows(spark: SparkSession, folder: str, schema: StructType, names: str = "*", files_a_batch: int = 1000) -> DataFrame:
     """A stream of the rows of Parquet files in folder that the query's checkpoint has not read yet."""
@@ -58,12 +58,7 @@ def caught_up(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     Every micro-batch is written to a folder of its own, so one that is run again replaces its rows. batch_id tells them apart.
     """
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
-    path = f"{top.rstrip('/')}/saltmarsh-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={number}")

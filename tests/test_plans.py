@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh import plans
 from saltmarsh.functions import classify, review, sizes, text, values
+from saltmarsh.operators import events as listed
 from saltmarsh.operators import matching, reports
 from saltmarsh.operators.order import numbered
 
@@ -112,10 +113,27 @@ def test_compatibility_form(spark):
     assert told(spark, said, text.name_key) == [unicodedata.normalize("NFKC", x or "").lower().strip(" ") for x in said]
 
 
-def test_places_without_one_task(spark):
-    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
-    found = numbered(rows, F.desc("v")).collect()
-    assert sorted((r.place, r.v) for r in found) == [(k + 1, 999 - k) for k in range(1000)]
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_places_of_wide_rows(spark, adaptive):
+    """Every place is the row's rank, with columns of the library's own names, many ranges and small ones put together."""
+    settings = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        n = 300_000
+        rows = spark.range(n).select("id", (F.col("id") * 7919 % n).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("_part"), F.lit("x" * 50).alias("_n")).repartition(7)
+        wrong = numbered(rows, F.desc("v")).agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.sum((F.col("place") != n - F.col("v")).cast("int")).alias("wrong")).first()
+        assert tuple(wrong) == (n, n, 0)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_months_without_a_time(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "2024-01-02"), (4, "2024-01-03"), (5, "soon")], "id int, at string")
+    found = {r.id: (r.month, r.place_in_month, r.in_month) for r in listed.by_month(rows, "at", "id").collect()}
+    assert found == {1: (None, 1, 2), 2: (None, 2, 2), 3: ("2024-01", 2, 2), 4: ("2024-01", 1, 2), 5: ("soon", 1, 1)}
 
 
 def test_keyed_fingerprints(spark):
