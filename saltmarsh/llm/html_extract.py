@@ -50,7 +50,9 @@ ENDS = {
     "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL)
+#: Where a comment, a declaration or a tag may begin; declarations and comments end at the page's end at the latest.
+OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z]", re.DOTALL)
+QUOTE_OR_END = re.compile(r"[>\"']")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
@@ -123,6 +125,40 @@ def _named(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(names & OUTSIDE_WORDS) or not in_article and "header" in names
 
 
+class Tokens:
+    """Comments, declarations and tags of a page in order. A tag ends at the first > outside quotes; without one it is text.
+
+    What follows a place outside quotes does not depend on where the tag began, so places from which no end was found are
+    remembered, and each is passed once, however many tags never end.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.endless = page, set()
+
+    def tag_end(self, at: int) -> int | None:
+        passed = []
+        while (found := QUOTE_OR_END.search(self.page, at)) and found.start() not in self.endless:
+            passed.append(found.start())
+            if found.group() == ">":
+                return found.end()
+            at = self.page.find(found.group(), found.end()) + 1
+            if not at:
+                break
+        self.endless.update(passed)
+        return None
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """Start and end of the first token from at."""
+        while found := OPENING.search(self.page, at):
+            if found.group()[1] in "!?":
+                return found.span()
+            end = self.tag_end(found.end())
+            if end:
+                return found.start(), end
+            at = found.end()
+        return None
+
+
 class Reader:
     """Reads a page's markup into blocks. A path is the tags and classes of the open block elements, from the root."""
 
@@ -215,11 +251,11 @@ class Reader:
         self.open_inline.setdefault(tag, []).append(inline)
 
     def read(self, page: str) -> Page:
-        at = 0
-        while found := TOKEN.search(page, at):
-            if found.start() > at:
-                self.put(page[at : found.start()])
-            at, token = found.end(), found.group()
+        at, tokens = 0, Tokens(page)
+        while found := tokens.next(at):
+            if found[0] > at:
+                self.put(page[at : found[0]])
+            at, token = found[1], page[found[0] : found[1]]
             name = NAME.match(token)
             if not name:
                 continue
@@ -294,6 +330,11 @@ def container(page: Page, weights: list[float]) -> int:
     return at
 
 
+def _speaks(block: Block) -> bool:
+    """Whether nothing of the block's own says that it surrounds an article."""
+    return not block.named and 2 * block.links <= len("".join(block.text.split()))
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by two line feeds.
 
@@ -302,6 +343,11 @@ def main_text(page: str | None) -> str:
     it, those whose path, by its ratio among the paths in it, reaches SHARE of the best one stay. So menus and link lists
     go, inside an article too. In a container that is no article element, what comes before the first
     and after the last block with a content ratio of its own goes too, but for headings before it.
+
+    A path's ratio speaks for many blocks, and titles, bylines and short blocks have a low one. So blocks
+    beside those that stay are put back unless something of their own speaks against them: a name of surroundings,
+    or text that is mostly links. In an article element that holds of all its blocks, elsewhere of those between the
+    first and the last that stay. In an article element with other text than headings, blocks named as surroundings go.
     """
     read = Reader().read(page or "")
     blocks = read.blocks
@@ -326,6 +372,13 @@ def main_text(page: str | None) -> str:
         while before >= 0 and blocks[before].tag in HEADINGS and not blocks[before].named and before not in chosen:
             chosen.insert(0, before)
             before -= 1
+        span = range(chosen[0], chosen[-1] + 1) if chosen else range(0)
+    else:
+        span = range(len(blocks))
+        if any(_speaks(blocks[k]) and blocks[k].tag not in HEADINGS for k in within):
+            chosen = [k for k in chosen if not blocks[k].named]
+    back = {k for k in within if k in span and _speaks(blocks[k])}
+    chosen = sorted(back.union(chosen))
     return "\n\n".join(blocks[k].text for k in chosen)
 
 

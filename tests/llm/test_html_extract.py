@@ -2,8 +2,11 @@ import html
 import math
 import random
 import re
+import time
 from xml.etree import ElementTree
 
+import time
+
 import pytest
 
 from saltmarsh.llm.html_extract import Reader, extracted, main_text, path_ratios
@@ -116,3 +119,31 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in extracted(pages).collect()) == [(0, "x"), (1, ""), (1, "x"), (1, "x")]
     assert extracted(pages.limit(0)).count() == 0
+
+
+SENTENCES = "This is a long sentence, with marks. And another one, quite long; it goes on and on."
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<article><h1>Title</h1><div class=by>By Ann</div><div class=when>2 May</div><p>{SENTENCES}</p></article>", ["Title", "By Ann", "2 May", SENTENCES]),
+        (f"<article><h1>T</h1><h2 class=sub>Sub</h2><p class=lead>Lead</p><p>{SENTENCES}</p></article>", ["T", "Sub", "Lead", SENTENCES]),
+        (f"<article><h1>T</h1><div><h2>S</h2><p>{SENTENCES}</p></div></article>", ["T", "S", SENTENCES]),
+        (f'<article><h1>T</h1><p>Word</p><div class="ad"><p>{SENTENCES}</p></div></article>', ["T", "Word"]),
+        (f"<article><h1>T</h1><div class=share><p>{SENTENCES}</p></div></article>", ["T", SENTENCES]),
+        (f"<div><h1>T</h1><p>{SENTENCES}</p><p>Short</p><div class=x>tiny</div><p>{SENTENCES}</p></div><div class=footer>{SENTENCES}</div>", ["T", SENTENCES, "Short", "tiny", SENTENCES]),
+        (f"<article><p>{SENTENCES}</p><ul class=nav><li><a href=x>Home</a><li><a href=y>More</a></ul><p>{SENTENCES}</p></article>", [SENTENCES, SENTENCES]),
+    ],
+)
+def test_short_blocks_stay(page, blocks):
+    assert main_text(page).split("\n\n") == blocks
+
+
+def test_tags_that_never_end():
+    """A megabyte of open quotes is text, read once; a tag may begin within what was none."""
+    for text in ('<a "' * 250_000, "<a x='" * 170_000):
+        began = time.perf_counter()
+        assert main_text(text) == text.strip() and time.perf_counter() - began < 10
+    assert main_text('<p>one</p> <a "<b>two</b>') == 'one\n\n<a "two'
+    assert main_text("<p title='a>b'>one</p><!-- no end") == "one"
