@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Window lengths, each twice the one before; the last is the longest sequence.
 TIERS = (256, 512, 1024, 2048)
-#: Words whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers at most; then only those of the texts at hand stay.
+REMEMBERED = 500_000
 #: New words are encoded so many at a time.
 TOGETHER = 500
 
@@ -40,7 +40,9 @@ class WordTokenizer:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]  # at the ASCII white space; other white space is left to the tokenizer
         if len(self.known) > REMEMBERED:
+            stay = {w: self.known[w] for w in set().union(*split).intersection(self.known)}
             self.known.clear()
+            self.known.update(stay)
         new = sorted(set().union(*split).difference(self.known))
         if self.border is not None:
             mark = self.border.encode()
@@ -139,7 +141,7 @@ def _cut(window: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple
         yield part
 
 
-SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length int, step_group long"
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length int, step_group long"
 
 
 def packed(
@@ -163,7 +165,7 @@ def packed(
     those and one document. sequence_id and step_group are unique over all tasks.
 
     Null or empty text: end_id alone. Null id: packed like any other. Repeated rows: each is packed; their
-    pieces share the id. Empty table: empty result. Other columns are ignored.
+    pieces share the id, of any type. Empty table: empty result. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +174,8 @@ def packed(
         held: dict[int, tuple[int | None, bytes]] = {}
         windows: list[list[tuple[int, int, int]]] = []
         sequence = group = number = 0
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = ["id", *[c.split()[0] for c in SCHEMA.split(", ")]]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, group, windows
@@ -202,9 +205,9 @@ def packed(
             held.clear()
             windows = []
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         waiting = 0
         for batch in batches:
+            types = [batch.column(0).type, *types[-8:]]
             for first in range(0, batch.num_rows, 200):
                 some = batch.slice(first, 200)
                 texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
@@ -219,5 +222,5 @@ def packed(
         if waiting:
             yield from out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)

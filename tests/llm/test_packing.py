@@ -87,3 +87,9 @@ def test_packer_uses_each_token_once(lengths):
                 at += n
         assert at == length
     assert all((n := sum(p[2] for p in w)) & (n - 1) == 0 and n <= 2048 for w in windows)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x1", "some words"), (None, None), ("x1", "some words")], "doc_id string, text string")
+    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in found} == {(None, 1), ("x1", 3)} and sum(r.length for r in found) == 7
