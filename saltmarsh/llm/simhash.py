@@ -434,8 +434,12 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     bits by the parities of their sets, which rule out only what cannot be similar, and the rest by the sets. So a group of copies gives a link or so a
     row and not all its pairs, no key or leader stays in one task, and the sets themselves decide on each link.
 
+    similarity: 0.8 or more; bands and FAR are made for that, and lower ones are refused.
+
     Null text: as empty. Texts without words are equal. Empty table: empty result.
     """
+    if similarity < 0.8:
+        raise ValueError("a similarity below 0.8: too few of such pairs share a band")
     each = written(sketches(docs, row, text_col, words), "near-sketches")
     whole = each.groupBy("set_key").agg(F.min(F.struct("row", "fp", "size", "bands")).alias("first"), F.count("*").alias("n"))
     whole = written(whole.select("set_key", "first.*", "n"), "near-sets")

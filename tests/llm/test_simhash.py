@@ -190,3 +190,8 @@ def test_parity_bound_rules_out_only_what_is_not_similar():
     assert refused == 1
     empty = np.zeros(0, np.uint64)
     assert not simhash.parity(empty).any()
+
+
+def test_low_similarities_are_refused(spark):
+    with pytest.raises(ValueError, match="below 0.8"):
+        simhash.drop_near_copies(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=0.7)
