@@ -279,12 +279,6 @@ def prof_path_shapes(spark, sf_dir):
     return profile.path_shapes(paths(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('customer', 'money,name', '높음'), ('login', 'contact,login', '치명'), ('part', 'money', '중간'), ('nation', 'name', '낮음')) t("table", kinds, grade)""")
-def prof_table_grade(spark, sf_dir):
-    rows = [("customer", "c_name"), ("customer", "c_acctbal"), ("login", "mail"), ("login", "passwd"), ("part", "p_retailprice"), ("part", "p_size"), ("nation", "n_name")]
-    return profile.table_grades(spark.createDataFrame(rows, "table string, column string"))
-
-
 @query("""SELECT 'p_brand' AS "column", 'changed' AS change, count(*) FILTER (p_partkey % 5 = 0 AND p_partkey % 7 <> 0) AS n FROM part UNION ALL SELECT 'p_brand', 'blanked', count(*) FROM part WHERE p_partkey % 7 = 0""")
 def prof_reparse_diff(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")

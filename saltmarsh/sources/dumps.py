@@ -70,6 +70,56 @@ def insert_rows(dump: DataFrame, statement: str) -> DataFrame:
     return found.select("name", columns.alias("columns"), values.alias("values"))
 
 
+def _nested(depth: int) -> str:
+    """Anything within brackets: texts in quotes, and brackets down to depth."""
+    quoted = r"'[^']*+(?:''[^']*+)*+'|\"[^\"]*+\"|`[^`]*+`"
+    inner = r"[^()'\"`]"
+    for _ in range(depth):
+        inner = rf"[^()'\"`]|{quoted}|\((?:{inner})*+\)"
+    return rf"(?:{inner}|{quoted})"
+
+
+#: The head of a table's definition, its columns' part, one column's part, and parts that are no columns (fixed patterns).
+CREATE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?([\w.]+)[`\"\]]?\s*\("
+COLUMN_PART = r"(?s)((?:(?!,)" + _nested(4) + r")+)"
+COLUMN_NAME = r"^[`\"\[]?(\w+)[`\"\]]?\s"
+NO_COLUMN = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT|SPATIAL)\b"
+#: How tuples are written (fixed values).
+A_LINE, A_LIST, A_STATEMENT = "줄 단위 튜플", "확장 INSERT", "문장당 한 튜플"
+
+
+def table_shapes(dump: DataFrame, statement: str, *by: str) -> DataFrame:
+    """name, columns, n_tuples and ways for each table of a dump's statements (for each value of the columns by).
+
+    columns: of its first definition, in the order of the statements, else those named by its first INSERT, else empty;
+    parts of a definition are told apart outside quotes and brackets (down to four deep). n_tuples: of all its INSERTs. ways:
+    how many of them are written a tuple a line, as a list, or one alone. Values are counted and never returned.
+
+    A row is a statement, so tasks share a dump of any size; counts are combined before they are shuffled, and a table's
+    first statement is found by its place, so that it does not matter where the dump was cut. Statements of other kinds are left out.
+    """
+    s, at = F.col(statement), F.monotonically_increasing_id()
+    body = F.regexp_extract(s, CREATE + "(" + _nested(4) + r"*+)\)", 2)
+    parts = F.transform(F.regexp_extract_all(body, F.lit(COLUMN_PART)), lambda p: F.btrim(p, F.lit(" \t\r\n")))
+    defined = F.transform(F.filter(parts, lambda p: ~p.rlike(NO_COLUMN) & p.rlike(COLUMN_NAME)), lambda p: F.regexp_extract(p, COLUMN_NAME, 1))
+    named = F.transform(F.split(F.regexp_extract(s, INSERT, 2), ","), lambda c: F.btrim(c, F.lit(' `"[]\t\r\n')))
+    values = F.regexp_extract(s, INSERT, 3)
+    n = F.size(F.regexp_extract_all(values, F.lit(TUPLE)))
+    rows = dump.select(
+        *by,
+        at.alias("at"),
+        F.when(s.rlike(CREATE), F.regexp_extract(s, CREATE, 1)).when(s.rlike(INSERT), F.regexp_extract(s, INSERT, 1)).alias("name"),
+        F.when(s.rlike(CREATE), defined).alias("defined"),
+        F.when(s.rlike(CREATE) | (F.regexp_extract(s, INSERT, 2) == ""), None).otherwise(named).alias("named"),
+        F.when(s.rlike(CREATE), 0).otherwise(n).cast("long").alias("n"),
+        F.when(~s.rlike(CREATE), F.when(F.size(F.regexp_extract_all(values, F.lit(r"(?m)^[ \t]*(\()"))) > 1, A_LINE).when(n > 1, A_LIST).otherwise(A_STATEMENT)).alias("way"),
+    ).where("name IS NOT NULL")
+    first = lambda c: F.min(F.when(F.size(c) > 0, F.struct("at", F.col(c).alias("columns"))))["columns"]
+    ways = F.map_filter(F.map_from_arrays(F.array(*[F.lit(w) for w in (A_LINE, A_LIST, A_STATEMENT)]), F.array(*[F.count(F.when(F.col("way") == w, 1)) for w in (A_LINE, A_LIST, A_STATEMENT)])), lambda _, k: k > 0)
+    found = rows.groupBy(*by, "name").agg(first("defined").alias("_defined"), first("named").alias("_named"), F.sum("n").alias("n_tuples"), ways.alias("ways"))
+    return found.select(*by, "name", F.coalesce("_defined", "_named", F.array().cast("array<string>")).alias("columns"), "n_tuples", "ways")
+
+
 def tree_paths(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
     """file, number, path for each entry of `tree` output that has none below it.
 
