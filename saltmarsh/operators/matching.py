@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,24 +163,61 @@ def org_tokens(names: DataFrame) -> DataFrame:
     return squeezed.where(F.length("token") >= 2).distinct()
 
 
-def mentioning(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+#: Characters of tokens that one pass over the texts looks for.
+PASS_CHARS = 32_000_000
+_SHORT, _LATIN = re.compile("[a-z0-9]{1,3}"), re.compile("[a-z0-9]")
+
+
+def mentioning(texts: DataFrame, tokens: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
     """id, token: the tokens that texts (id, text) hold, in lower case.
 
     A token of up to three Latin letters or digits must stand between other characters; any other may stand
-    anywhere, also across blanks. Texts and tokens meet on a token's first four characters, or as many as it has, and
-    what meets is held against the text; so no pair meets without them. Null text: nothing.
+    anywhere, also across blanks. Texts are read once for every pass_chars characters of tokens, which an automaton finds
+    in one go; only what is found leaves the scan, so no text is shuffled and no token, however common, is a key of
+    a join. Tokens of a pass are gathered and sent to the tasks: their size is bounded by pass_chars. Null text: nothing.
     """
+    spark = texts.sparkSession
     wanted = tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct()
-    short = F.col("token").rlike("^[a-z0-9]{1,3}$")
-    low = texts.select("id", F.lower("text").alias("low")).where("low IS NOT NULL")
-    words = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?<![a-z0-9])[a-z0-9]{1,3}(?![a-z0-9])"), 0))).alias("token"))
-    by_word = words.join(wanted.where(short), "token").select("id", "token")
-    both = low.withColumn("squeezed", F.regexp_replace("low", r"\s+", ""))
-    long = wanted.where(~short).withColumn("start", F.substring("token", 1, 4))
-    starts = F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in (2, 3, 4) for c in ("low", "squeezed")])
-    met = both.select("id", F.explode(F.array_distinct(starts)).alias("start")).join(long, "start").select("id", "token").distinct()
-    held = met.join(both, "id").where(F.contains("low", F.col("token")) | F.contains("squeezed", F.col("token")))
-    return by_word.unionByName(held.select("id", "token"))
+    total = wanted.agg(F.sum(F.length("token"))).first()[0] or 0
+    passes = max(1, -(-total // pass_chars))
+    rows = texts.where("text IS NOT NULL").select("id", F.lower("text").alias("low"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def step(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for token in held.value:
+                automaton.add_word(token, token)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for k, low in enumerate(batch.column(1).to_pylist()):
+                    hits = _held(low, automaton)
+                    at += [k] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["id", "token"])
+
+        return run
+
+    parts = []
+    for k in range(passes):
+        some = [r.token for r in wanted.where(F.pmod(F.xxhash64("token"), F.lit(passes)) == k).collect()]  # pass_chars characters
+        if some:
+            parts.append(rows.mapInArrow(step(spark.sparkContext.broadcast(some)), f"id {kind}, token string"))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.select("id", F.lit("").alias("token")).limit(0)
+
+
+def _held(low: str, automaton) -> list[str]:
+    out = set()
+    for end, token in automaton.iter(low):
+        if not _SHORT.fullmatch(token) or not (_LATIN.match(low[max(end - len(token), 0) : end - len(token) + 1]) or _LATIN.match(low[end + 1 : end + 2])):
+            out.add(token)
+    squeezed = re.sub(r"\s+", "", low)
+    if squeezed != low:
+        out.update(token for _, token in automaton.iter(squeezed) if not _SHORT.fullmatch(token))
+    return sorted(out)
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, column: str) -> DataFrame:

@@ -75,5 +75,6 @@ def web_states(spark, sf_dir):
     page, day = F.col("html"), F.lit("2026-01-02")
     pager = F.concat(F.lit('<a href="?page=9">'), (F.length(page) % 7).cast("string"), F.lit("</a>"))
     found = {"state": webpages.availability(200 + 50 * (F.col("page_id") % 5), page, day), "signup": webpages.signup_needed(page, day), "size": webpages.size_estimate(webpages.last_page(pager), F.length(page) % 3, day)}
-    stored = table(spark, sf_dir, "pages").select("page_id", *[states.encoded(v).alias(n) for n, v in found.items()])
+    values = table(spark, sf_dir, "pages").select("page_id", *[v.alias(n) for n, v in found.items()])
+    stored = values.select("page_id", *[states.encoded(F.col(n)).alias(n) for n in found])
     return stored.select("page_id", *[states.rendered(states.decoded(F.col(n))).alias(n) for n in found])
