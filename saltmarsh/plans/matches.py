@@ -164,11 +164,11 @@ def chan_categories(spark, sf_dir):
     return channel.categories(messages(spark, sf_dir), F.col("text"), TERMS)
 
 
-COUNTED = "counted AS (SELECT 'sender' AS dimension, sender AS value, count(*) AS n FROM messages GROUP BY 2 UNION ALL SELECT 'day', strftime(sent_at, '%Y-%m-%d'), count(*) FROM messages GROUP BY 2 UNION ALL SELECT 'word', w, count(*) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM messages) WHERE regexp_full_match(w, '[A-Z][a-z]{3}') GROUP BY 2)"
+COUNTED = "counted AS (SELECT 'sender' AS dimension, sender AS value, count(*) AS n FROM messages GROUP BY 2 UNION ALL SELECT 'day', strftime(sent_at, '%Y-%m-%d'), count(*) FROM messages GROUP BY 2 UNION ALL SELECT 'word', w, count(*) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM messages) GROUP BY 2)"
 
 
 def chan_counted(spark, sf_dir):
-    found = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), lambda w: w.rlike("^[A-Z][a-z]{3}$"))
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
     return channel.counters(messages(spark, sf_dir), {"sender": F.array("sender"), "day": F.array(F.date_format("sent_at", "yyyy-MM-dd")), "word": found})
 
 

@@ -217,15 +217,15 @@ def guide_levels(spark, sf_dir):
     return levels(spark, sf_dir)
 
 
-GUIDE_SQL = f"""{LEVELS}, actions AS (SELECT p_partkey AS action, (['acct', 'phish', 'money', 'ident', 'priv'])[p_partkey % 5 + 1] AS risk, p_partkey % 3 AS urgency, [{chosen(ITEMS, 'p_partkey')}, {chosen(ITEMS, '(p_partkey // 2)')}] AS need FROM part WHERE p_partkey <= 22),
+#: The nations are the guide's actions.
+GUIDE_SQL = f"""{LEVELS}, actions AS (SELECT n_nationkey AS action, (['acct', 'phish', 'money', 'ident', 'priv'])[n_nationkey % 5 + 1] AS risk, n_nationkey % 3 AS urgency, [{chosen(ITEMS, 'n_nationkey')}, {chosen(ITEMS, '(n_nationkey // 2)')}] AS need FROM nation),
 met AS (SELECT DISTINCT "case", action, risk, urgency FROM leaked JOIN actions ON list_contains(need, item) JOIN levels USING ("case", risk)),
 picked AS (SELECT "case", action, row_number() OVER (PARTITION BY "case" ORDER BY urgency, list_position(CASE WHEN "case" % 2 = 0 THEN ['money', 'ident', 'acct', 'phish', 'priv'] ELSE ['acct', 'phish', 'money', 'ident', 'priv'] END, risk), action) AS place FROM met)"""
 
 
 def picked(spark, sf_dir):
-    k = F.col("p_partkey")
-    # The guide has 22 actions.
-    actions = table(spark, sf_dir, "part").where(k <= 22).select(k.alias("action"), pick(("acct", "phish", "money", "ident", "priv"), k).alias("risk"), (k % 3).alias("urgency"), F.array(pick(ITEMS, k), pick(ITEMS, F.floor(k / 2))).alias("need"))
+    k = F.col("n_nationkey").cast("long")
+    actions = table(spark, sf_dir, "nation").select(k.alias("action"), pick(("acct", "phish", "money", "ident", "priv"), k).alias("risk"), (k % 3).alias("urgency"), F.array(pick(ITEMS, k), pick(ITEMS, F.floor(k / 2))).alias("need"))
     orders = F.when(F.col("case") % 2 == 0, F.array(*map(F.lit, ("money", "ident", "acct", "phish", "priv")))).otherwise(F.array(*map(F.lit, ("acct", "phish", "money", "ident", "priv"))))
     priority = leaked(spark, sf_dir).select("case").distinct().select("case", orders.alias("order"))
     return review.picked_actions(leaked(spark, sf_dir), levels(spark, sf_dir), actions, priority)

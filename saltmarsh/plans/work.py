@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from saltmarsh.functions import names, review, text, times
+from saltmarsh.functions import names, outputs, review, text, times
 from saltmarsh.operators import queues
 from saltmarsh.plans.registry import query, table
-from saltmarsh.sources import sinks
+from saltmarsh.sources import feeds, sinks
 from saltmarsh.sources.working import new_path
 
 
@@ -164,3 +164,54 @@ def snk_versions(spark, sf_dir):
     sinks.write_version(rows.where("c_custkey % 2 = 1"), folder, "b")
     sinks.write_if_any(rows.where("c_custkey < -1"), f"{folder}/version=b")
     return sinks.current_version(spark, folder)
+
+
+@query(r"""SELECT conv_id, turn AS number, '' AS why, 'c' || conv_id || '/' || turn AS post, '2024-01-0' || (turn % 9 + 1) AS at, role AS channel_name, trim(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10)) AS text, ['https://x.example/' || turn] AS links FROM conversations WHERE conv_id % 4 <> 0
+UNION ALL SELECT conv_id, NULL, CASE conv_id % 3 WHEN 0 THEN '미리보기가 꺼져 있다. 이 채널은 공개 미리보기로 못 본다. 실계정 경로(나)가 필요하다' WHEN 1 THEN '채널 쪽은 받았는데 글 묶음이 없다. 채널이 비었거나 꼴이 바뀌었다' ELSE '채널 쪽이 아닌 것을 받았다. 주소를 확인할 것' END, NULL, NULL, NULL, NULL, NULL FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id""")
+def src_channel_page(spark, sf_dir):
+    """Conversations as pages of channels, a turn a post; every fourth page has none, for three reasons."""
+    turn = F.col("turn").cast("string")
+    body = F.replace(F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n"), F.lit("<br/>"))
+    post = F.concat(
+        F.lit('<div class="tgme_widget_message " data-post="c'), F.col("conv_id").cast("string"), F.lit("/"), turn, F.lit('"><a class="tgme_widget_message_owner_name x"><span dir="auto">'), "role",
+        F.lit('</span></a><time datetime="2024-01-0'), (F.col("turn") % 9 + 1).cast("string"), F.lit('"><div class="tgme_widget_message_text js" dir="auto">'), body, F.lit('<a href="https://x.example/'), turn, F.lit('"></a></div></div>'),
+    )
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("p")))), lambda x: x["p"]), "\n").alias("posts"))
+    k = F.col("conv_id") % 3
+    none = F.when(k == 0, '<a class="tgme_page_context_link">').when(k == 1, '<div class="tgme_page">').otherwise("<html>")
+    pages = talks.select("conv_id", F.lit("?").alias("channel"), F.when(F.col("conv_id") % 4 != 0, F.col("posts")).otherwise(none).alias("page"))
+    found = feeds.channel_page(pages, "page", "channel")
+    bare = lambda c: F.when(F.col("why") == "", F.col(c)).alias(c)
+    return found.select("conv_id", F.regexp_extract("post", r"/(\d+)$", 1).try_cast("long").alias("number"), "why", *[bare(c) for c in ("post", "at", "channel_name", "text", "links")])
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, w[1] AS a, w[2] AS b, w[3] AS c FROM w WHERE len(w) > 2)
+SELECT doc_id, a AS org, b || chr(10) || c || chr(10) || chr(10) || a AS summary, CASE WHEN doc_id % 2 = 0 THEN c ELSE b END AS size, CASE WHEN doc_id % 3 = 0 THEN ['대상'] WHEN doc_id % 3 = 1 THEN ['대상', '요약'] ELSE ['대상', '요약'] END AS filled, CASE WHEN doc_id % 3 = 0 THEN ['요약'] ELSE [] END AS clashes FROM n""")
+def add_labelled_cells(spark, sf_dir):
+    """A tool's output of a document's first words, read into cells; those fill blank cells, and clash with the summary of every third row."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 2)
+    a, b, c = (F.get("w", F.lit(k)) for k in range(3))
+    text = F.format_string("# title: no\n대상: %s   (from a list)\n규모: %s\n  요약: %s  \n    %s\n\n     %s\n- list: no\n    no value\n규모: %s\n비고:\n--- page ---\n뒤: no\n", a, F.when(F.col("doc_id") % 2 == 0, b).otherwise(c), b, c, a, F.when(F.col("doc_id") % 2 == 0, c).otherwise(b))
+    read = rows.select("doc_id", outputs.labelled(text, "--- page ---").alias("m"))
+    k = F.col("doc_id") % 3
+    held = F.create_map(F.lit("요약"), F.when(k == 0, "something else").when(k == 1, "").otherwise("못 봄(이유)"))
+    done = read.withColumn("s", outputs.seated(held, F.map_filter("m", lambda n, _: n != "규모")))
+    return done.select("doc_id", F.col("m")["대상"].alias("org"), F.col("m")["요약"].alias("summary"), F.col("m")["규모"].alias("size"), "s.filled", "s.clashes")
+
+
+@query(r"""SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS found, ts::DATE::TIMESTAMP - INTERVAL 9 HOUR AS "start", ts::DATE::TIMESTAMP + INTERVAL 15 HOUR - INTERVAL 1 MICROSECOND AS "end" FROM events""")
+def push_found_day(spark, sf_dir):
+    raw = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("발견일"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("discovered")))
+    bounds = outputs.day_bounds(F.to_date("ts"), F.to_date("ts"), "Asia/Seoul")
+    rows = table(spark, sf_dir, "events").select("event_id", outputs.found_day(raw).alias("found"), bounds.alias("b"))
+    return rows.select("event_id", "found", F.col("b.start").cast("timestamp_ntz").alias("start"), F.col("b.end").cast("timestamp_ntz").alias("end"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN trim(t, ' ') = '' THEN '빈칸' WHEN doc_id % 5 = 1 THEN 'N/A' WHEN doc_id % 5 = 2 THEN '회사 소개(AI 가 지음)' WHEN regexp_matches(t, '{outputs.POST_LIKE}') THEN '게시글 문장' ELSE '회사 소개로 보임' END AS kind
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'n/a' WHEN 2 THEN ' [AI generated] ' || coalesce(text, '') WHEN 3 THEN 'Selling the database of ' || coalesce(text, '') ELSE coalesce(text, '') END AS t FROM documents)""")
+def text_description_kind(spark, sf_dir):
+    k, said = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    text_of = F.when(k == 1, "n/a").when(k == 2, F.concat(F.lit(" [AI generated] "), said)).when(k == 3, F.concat(F.lit("Selling the database of "), said)).otherwise(said)
+    return table(spark, sf_dir, "documents").select("doc_id", outputs.description_kind(text_of).alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.text import unescaped_html
 from saltmarsh.functions.times import snowflake_time
 
 #: Members that may hold a feed's rows if it isn't a list itself.
@@ -83,3 +84,38 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
 def rss_item(text: Column) -> Column:
     """An item's columns from its XML; malformed: nulls."""
     return F.from_xml(text, ITEM)
+
+
+#: A post of a channel's public page, its parts, and why a page has none (fixed patterns and values).
+CHANNEL_POST = r'(?s)<div class="tgme_widget_message[ "].*?(?=<div class="tgme_widget_message[ "]|\z)'
+POST_TEXT = r'(?s)<div class="tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>'
+POST_PARTS = {
+    "post": r'data-post="([^"]+)"', "at": r'datetime="([^"]+)"', "url": r'class="tgme_widget_message_date"\s+href="([^"]+)"', "views": r'tgme_widget_message_views">([^<]+)<',
+    "channel": r'(?s)tgme_widget_message_owner_name[^>]*>.*?<span[^>]*>([^<]{1,60})<',
+}
+NO_PREVIEW = "미리보기가 꺼져 있다. 이 채널은 공개 미리보기로 못 본다. 실계정 경로(나)가 필요하다"
+NO_POSTS = "채널 쪽은 받았는데 글 묶음이 없다. 채널이 비었거나 꼴이 바뀌었다"
+NO_CHANNEL = "채널 쪽이 아닌 것을 받았다. 주소를 확인할 것"
+
+
+def channel_page(pages: DataFrame, page: str, channel: str) -> DataFrame:
+    """The columns of pages but page, with place, post, at, url, views, channel_name, text and links of each post of a channel's page; why where there is none.
+
+    A page without posts gives one row, whose why says what it is: the preview is off, the channel is empty, or the page is
+    no channel's. Texts are without tags, with line breaks and references resolved; a post without a text has an empty one.
+    Null page: no channel's.
+    """
+    html = F.coalesce(F.col(page), F.lit(""))
+    found = F.regexp_extract_all(html, F.lit(CHANNEL_POST), F.lit(0))
+    has = lambda part: F.contains(html, F.lit(part))
+    why = F.when(F.size(found) > 0, "").when(has("Preview channel") | has("tgme_page_context_link"), NO_PREVIEW).when(has("tgme_page"), NO_POSTS).otherwise(NO_CHANNEL)
+    keep = [c for c in pages.columns if c != page]
+    rows = pages.select(*keep, why.alias("why"), F.posexplode_outer(found).alias("_place", "_post"))
+    one = lambda name: F.trim(F.regexp_extract("_post", POST_PARTS[name], 1))
+    raw = F.regexp_extract("_post", POST_TEXT, 1)
+    text = F.btrim(unescaped_html(F.regexp_replace(F.regexp_replace(raw, r"<br\s*/?>", "\n"), "<[^>]+>", "")), F.lit(" \t\r\n"))
+    name = one("channel")
+    return rows.select(
+        *keep, "why", (F.col("_place") + 1).alias("place"), one("post").alias("post"), one("at").alias("at"), one("url").alias("url"), one("views").alias("views"),
+        F.when(name != "", name).otherwise(F.col(channel)).alias("channel_name"), text.alias("text"), F.regexp_extract_all(raw, F.lit(r'<a href="(https?://[^"]+)"'), F.lit(1)).alias("links"),
+    )
