@@ -57,9 +57,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -168,8 +169,8 @@ def near_links(distinct: DataFrame, radius: int = 2, chunk: int = 1024) -> DataF
 
     keys = F.array(*[key(n, a, b) for n, (a, b) in enumerate(combinations(range(blocks), 2))])
     dealt = written(distinct.where("id is not null").select("id", "fp", F.explode(keys).alias("key")), "simhash-keys")
-    large = dealt.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    placed = dealt.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    large = dealt.groupBy("key").count().where(F.col("count") > chunk).select("key", "count", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    placed = shared_apart(dealt, large, ["key"], "count", dealt.count()).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
@@ -193,17 +194,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, fingerprint (16 hex digits), component_id for each row of docs.
 
     Texts are linked if their fingerprints differ in radius bits or fewer; component_id is the smallest
-    id reachable over links. Equal fingerprints are compared once: the smallest id stands for them.
+    id reachable over links. Equal fingerprints are compared once, and stand for themselves in links and components; a
+    component's ids are looked at afterwards, so ids may have any ordered type. Fingerprints and components with a large
+    share of all rows are joined by broadcast, as there are few.
 
     Null text: as empty. Texts without words have fingerprint zero and are linked like others.
-    Null ids: take the component of their fingerprint's other rows, else null. Repeated rows: each has its result.
-    Empty table: empty result. Other columns are ignored.
+    Null ids: take part in links, and take the component's smallest other id; null if it has none. Repeated rows: each has
+    its result. Empty table: empty result. Other columns are ignored.
     """
     each = written(fingerprints(docs, id_col, text_col, words), "simhash-each")
-    distinct = written(each.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
-    found = components(near_links(distinct, radius))
-    of_print = distinct.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "id").alias("component_id"))
-    return each.join(of_print, F.col("fp") == F.col("of_fp")).select(
+    distinct = written(each.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "simhash-distinct")
+    found = components(near_links(distinct.select(F.col("fp").alias("id"), "fp"), radius))
+    of_print = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "id", F.coalesce("component", "fp").alias("component"))
+    of_print = written(of_print, "simhash-components")
+    least = of_print.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("prints"))
+    named = shared_apart(of_print.select("fp", "n", "component"), least, ["component"], "prints", of_print.count(), "inner").select("fp", "n", "component_id")
+    return shared_apart(each, named, ["fp"], "n", each.count(), "inner").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

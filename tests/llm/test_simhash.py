@@ -195,3 +195,12 @@ def test_parity_bound_rules_out_only_what_is_not_similar():
 def test_low_similarities_are_refused(spark):
     with pytest.raises(ValueError, match="below 0.8"):
         simhash.drop_near_copies(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=0.7)
+
+
+def test_groups_with_ids_of_any_type(spark):
+    """Texts whose rows have no id still join others, and text ids stay."""
+    a, b, c = "one two three four five six seven eight nine ten", "another text of quite other words and nothing like it", "one two three four five six seven eight nine ten"
+    rows = [("x2", a), ("x1", c), (None, b), ("x3", None), ("x4", ""), ("x0", b), (None, "alone")]
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    told = sorted(((r.doc_id or ""), r.component_id or "") for r in found)
+    assert told == [("", ""), ("", "x0"), ("x0", "x0"), ("x1", "x1"), ("x2", "x1"), ("x3", "x3"), ("x4", "x3")]
