@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -18,11 +20,37 @@ TIERS = (256, 512, 1024, 2048)
 REMEMBERED = 500_000
 #: New words are encoded so many at a time.
 TOGETHER = 500
+#: Words of these letters alone are in the tokenizer's own form once they are in lower case, and these are their pieces
+#: by its pattern; the two characters that its special tokens begin with are not among them.
+PLAIN = re.compile("(?!.*<\\|)[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Ends a piece, as the tokenizer's mark of a word's end; no plain word has it.
+MARK = "\0"
 
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict = {}
 
 
+def _plain_encoding(path: str):
+    """An encoding of marked pieces with the ids of the file: a byte and the mark is merged first, as the ids are in the order of the merges.
+
+    Also, by id, whether a token ends with the mark.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    suffix, ranks = model["end_of_word_suffix"], {}
+    for token, rank in model["vocab"].items():
+        bare = token.removesuffix(suffix)
+        ranks[bytes(byte_of[c] for c in bare) + (MARK.encode() if bare != token else b"")] = rank
+    ends = np.zeros(max(ranks.values()) + 1, bool)
+    ends[[rank for token, rank in model["vocab"].items() if token.endswith(suffix)]] = True
+    return tiktoken.Encoding("pieces", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={}), ends
+
+
 class WordTokenizer:
     """Ids of a tokenizer that treats the words between white space apart, as packed 32-bit integers."""
 
@@ -31,8 +59,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.known = _tokenizers[path], _known.setdefault(path, {})
+            _tokenizers[path] = Tokenizer.from_file(path), *_plain_encoding(path)
+        self.tokenizer, self.plain, self.ends = _tokenizers[path]
+        self.known = _known.setdefault(path, {})
         special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         #: A special token parts words that are encoded together.
         self.border_id, self.border = special[0] if special else (None, None)
@@ -44,6 +73,11 @@ class WordTokenizer:
             self.known.clear()
             self.known.update(stay)
         new = sorted(set().union(*split).difference(self.known))
+        plain = [w for w in new if PLAIN.fullmatch(w.decode())]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            self.known.update(zip(some, self._plainly(some), strict=True))
+        new = [w for w in new if w not in self.known]
         if self.border is not None:
             mark = self.border.encode()
             alone = [w for w in new if mark in w]
@@ -56,6 +90,15 @@ class WordTokenizer:
         self.known.update((w, _packed(x.ids)) for w, x in zip(new, found, strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def _plainly(self, words: list[bytes]) -> list[bytes]:
+        """The ids of plain words, from one text of their pieces, each with the mark behind it."""
+        pieces = [PIECES.findall(w.decode().lower()) for w in words]
+        text = "".join(piece + MARK for word in pieces for piece in word)
+        ids = np.array(self.plain.encode_ordinary(text), dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids])[np.cumsum([len(p) for p in pieces]) - 1] + 1
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _together(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, from one text in which the border token stands between the words."""
         text = f" {self.border} ".encode().join(words).decode()

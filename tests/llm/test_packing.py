@@ -1,3 +1,4 @@
+import random
 import struct
 from collections import defaultdict
 
@@ -93,3 +94,15 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([("x1", "some words"), (None, None), ("x1", "some words")], "doc_id string, text string")
     found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert {(r.doc_id, r.doc_tokens) for r in found} == {(None, 1), ("x1", 3)} and sum(r.length for r in found) == 7
+
+
+def test_plain_words_by_the_quicker_way():
+    """Words of plain letters have the ids of the tokenizer's own library, pieces, case and marks included."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, ours = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ0123456789'!?.,-_/()<>|éèñüßöÉÑ×ªµ\0İΣ漢"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 16))) for _ in range(20_000)] + ["it's", "'s", "<|endoftext|>", "a<|b", "x" * 5000, "ﬁ", "é", "ΑΣ"]
+    got = [ours([w.encode()])[0] for w in words[-200:]] + ours([w.encode() for w in words[:-200]])
+    want = own.encode_batch(words[-200:] + words[:-200], add_special_tokens=False)
+    assert got == [packing._packed(x.ids) for x in want]
