@@ -97,17 +97,21 @@ def meta(page: Column, attribute: str, value: str) -> Column:
     return F.nullif(spaced(F.when(before != "", before).otherwise(after)), F.lit(""))
 
 
+def _signals(blob: Column) -> Column:
+    found = []
+    for name, patterns in SIGNALS.items():
+        any_of = lambda strong, patterns=patterns: reduce(lambda a, b: a | b, [blob.rlike("(?i)" + p) for p, s in patterns if s == strong], F.lit(False))
+        found.append(F.when(any_of(True), F.struct(F.lit(name).alias("key"), F.lit("strong").alias("value"))).when(any_of(False), F.struct(F.lit(name).alias("key"), F.lit("weak").alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*found)))
+
+
 def gate(page: Column) -> Column:
     """Struct of signals (map of signal to strong or weak), signup_required and how_to_enter.
 
     A signal is strong if one of its strong patterns is met; only strong ones of a log-in, a sign-up, an invitation or a fee bar the way.
     """
     blob = F.concat(empty(page), F.lit(" "), visible_text(page))
-    found = []
-    for name, patterns in SIGNALS.items():
-        any_of = lambda strong, patterns=patterns: reduce(lambda a, b: a | b, [blob.rlike("(?i)" + p) for p, s in patterns if s == strong], F.lit(False))
-        found.append(F.when(any_of(True), F.struct(F.lit(name).alias("key"), F.lit("strong").alias("value"))).when(any_of(False), F.struct(F.lit(name).alias("key"), F.lit("weak").alias("value"))))
-    signals = F.map_from_entries(F.array_compact(F.array(*found)))
+    signals = F.element_at(F.transform(F.array(blob), _signals), 1)  # so that the text is made once
 
     def told(s: Column) -> Column:
         is_ = lambda name, strength=None: (F.element_at(s, name) == strength) if strength else F.map_contains_key(s, name)
