@@ -204,10 +204,11 @@ def blocker(headers: Column, body: Column) -> Column:
     has = lambda name: F.exists(lower, lambda e: e["key"] == name)
     text, server = F.lower(empty(body)), at("server")
     says = lambda *parts: reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+    code = lambda n: text.rlike(rf"(?<![0-9]){n}(?![0-9])")  # noqa: E731  # not within a longer number
     cloudflare = F.contains(server, F.lit("cloudflare")) | has("cf-ray") | has("cf-mitigated")
     return (
-        F.when(cloudflare & says("1020"), "클라우드플레어 규칙에 막힙니다")
-        .when(cloudflare & says("1015"), "클라우드플레어가 속도 제한을 겁니다")
+        F.when(cloudflare & code(1020), "클라우드플레어 규칙에 막힙니다")
+        .when(cloudflare & code(1015), "클라우드플레어가 속도 제한을 겁니다")
         .when(cloudflare, "클라우드플레어에 막힙니다")
         .when(F.contains(server, F.lit("ddos-guard")) | says("ddos-guard"), "DDoS-Guard 에 막힙니다")
         .when(has("x-sucuri-id"), "Sucuri 에 막힙니다")
