@@ -13,7 +13,7 @@ from saltmarsh.functions.text import empty
 WHOLE, BROKEN, LABELS, TEXT, NOTHING = "JSON", "JSON(깨짐)", "라벨", "글자만", "빈 글"
 CUT_OFF = "중괄호로 시작하는데 닫히지 않았다. 글이 잘렸을 수 있다"
 BY_LINES = "JSON 이 깨져 줄 단위로 읽었다"
-#: Signs and pictures before a value, a value in brackets, a labelled line, a line of broken JSON, a tag, a link (fixed patterns).
+#: Signs and pictures before a value, a value in brackets, a labelled line, a line of broken JSON, a tag, a link, the messenger's host as a whole (fixed patterns).
 LEADING = r"^[\s\x{200d}\x{fe0f}\x{2190}-\x{27bf}\x{2b00}-\x{2bff}\x{1F000}-\x{1FAFF}]+"
 WRAPPED = r"^\(([^()]{1,60})\)$"
 LABELLED = r"^[•\-*]?\s*([A-Za-z][A-Za-z /_&]{2,30})\s*[:：]\s*(.*)$"
@@ -21,6 +21,7 @@ LOOSE = r'(?md)^\s*"([^"\n]{1,40})"\s*:\s*(.+?),?\s*$'
 TAG = r"<[^<>]{1,300}>"
 LINK = r"https?://\S{6,}"
 DOMAIN = r"^[\w-]+(?:\.[\w-]+)+$"
+MESSENGER = r"(?i)(?:^|[^\w-])t\.me(?:$|[^\w-])"
 KR_DOMAIN = r"(?i)(?<![\w@.-])((?:[a-z0-9-]+\.)+kr)(?![\w-])"
 #: A headline that says whose data leaked, what may stand before it, and its subject (fixed patterns).
 HEADLINE = (
@@ -174,15 +175,15 @@ def org_in_text(text: Column) -> Column:
     subject = F.btrim(F.regexp_replace(F.regexp_extract(line, HEADLINE, 1), HEADLINE_CLAIM, ""), F.lit(" -–—:,"))
     fits = (flag_country(text) != "") & (subject != "") & (F.size(F.split(subject, r"\s+")) <= 6)
     one = lambda org, how: F.struct(org.alias("org"), F.lit(how).alias("how"))
-    return F.when((domain != "") & ~F.contains(domain, F.lit("t.me")), one(domain, "본문 한국 도메인")).when(fits, one(subject, "제목(속보 꼴)")).otherwise(one(F.lit(""), ""))
+    return F.when((domain != "") & ~domain.rlike(MESSENGER), one(domain, "본문 한국 도메인")).when(fits, one(subject, "제목(속보 꼴)")).otherwise(one(F.lit(""), ""))
 
 
 def origin(links: Column, text: Column, fields: Column) -> Column:
     """Where the post has it from: a link that isn't to a channel, then the field source, then a link in the text."""
-    outer = refanged(F.get(F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda u: ~F.contains(u, F.lit("t.me/"))), F.lit(0)))
+    outer = refanged(F.get(F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda u: ~u.rlike(MESSENGER)), F.lit(0)))
     source = refanged(F.element_at(fields, "source"))
     found = F.regexp_extract(empty(text), LINK, 0)
-    in_text = F.when((found != "") & ~F.contains(found, F.lit("t.me/")), refanged(F.regexp_replace(found, r"""['").,。]+$""", ""))).otherwise("")
+    in_text = F.when((found != "") & ~found.rlike(MESSENGER), refanged(F.regexp_replace(found, r"""['").,。]+$""", ""))).otherwise("")
     return F.when(outer != "", outer).when(F.startswith(source, F.lit("http")), source).otherwise(in_text)
 
 
