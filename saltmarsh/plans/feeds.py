@@ -64,8 +64,10 @@ def src_delimited(spark, sf_dir):
 @query("""SELECT 'users' AS name, 'id|name|note' AS columns, CAST(c_custkey AS VARCHAR) AS id, c_name || '''s, (x)' AS owner, 'NULL' AS note FROM customer
 UNION ALL SELECT 'db.raw', NULL, CAST(s_suppkey AS VARCHAR), s_name, '' FROM supplier""")
 def src_insert_dump(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(F.format_string("(%d, '%s''s, (x)', NULL)", "c_custkey", "c_name")), ",\n").alias("t"))
-    raw = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.format_string("(%d,'%s','')", "s_suppkey", "s_name")), ",").alias("t"))
+    # A statement holds up to 15,000 keys of a nation, as a dump's do, however many customers there are.
+    some = lambda key: F.floor(F.col(key) / 15_000)
+    users = table(spark, sf_dir, "customer").groupBy("c_nationkey", some("c_custkey")).agg(F.array_join(F.collect_list(F.format_string("(%d, '%s''s, (x)', NULL)", "c_custkey", "c_name")), ",\n").alias("t"))
+    raw = table(spark, sf_dir, "supplier").groupBy("s_nationkey", some("s_suppkey")).agg(F.array_join(F.collect_list(F.format_string("(%d,'%s','')", "s_suppkey", "s_name")), ",").alias("t"))
     said = users.select(F.concat(F.lit('INSERT INTO `users` (`id`, "name", note) VALUES '), "t").alias("s")).unionByName(raw.select(F.concat(F.lit("insert into db.raw values"), "t").alias("s")))
     found = dumps.insert_rows(said.unionByName(users.select(F.lit("CREATE TABLE x (id int)").alias("s"))), "s")
     return found.select("name", F.array_join("columns", "|").alias("columns"), *[F.get("values", F.lit(k)).alias(n) for k, n in enumerate(("id", "owner", "note"))])

@@ -57,9 +57,11 @@ def insert_rows(dump: DataFrame, statement: str) -> DataFrame:
     A null value is the text NULL, as written. Doubled quotes stand for one.
     """
     s = F.col(statement)
-    found = dump.where(s.rlike(r"(?i)INSERT\s+INTO")).select(
-        F.regexp_extract(s, INSERT, 1).alias("name"), F.regexp_extract(s, INSERT, 2).alias("_columns"), F.explode(F.regexp_extract_all(F.regexp_extract(s, INSERT, 3), F.lit(TUPLE))).alias("_tuple")
+    # The head is read before tuples become rows: beside explode() it would be read from the whole statement for each of them.
+    heads = dump.where(s.rlike(r"(?i)INSERT\s+INTO")).select(
+        F.regexp_extract(s, INSERT, 1).alias("name"), F.regexp_extract(s, INSERT, 2).alias("_columns"), F.regexp_extract_all(F.regexp_extract(s, INSERT, 3), F.lit(TUPLE)).alias("_tuples")
     )
+    found = heads.select("name", "_columns", F.explode("_tuples").alias("_tuple"))
     columns = F.when(F.col("_columns") != "", F.transform(F.split("_columns", ","), lambda c: F.btrim(c, F.lit(' `"[]\t\n'))))
 
     def bare(v: Column) -> Column:
