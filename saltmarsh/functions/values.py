@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from saltmarsh.functions.text import empty, nfkc
+from saltmarsh.functions.text import empty, nfkc, once
 
 #: What is left of a name for comparison (fixed value).
 DROPPED = "[^0-9a-z가-힣ぁ-んァ-ヶ一-龥а-яё]+"
@@ -47,10 +47,11 @@ def word_fingerprints(names: Column, key: str, least: int = 2) -> Column:
     """
     held = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n != "")
 
-    def joined(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(held) - n + 1), lambda k: F.array_join(F.slice(held, k, n), ""))
+    def joined(held: Column, n: int) -> Column:
+        grams = F.transform(held, lambda first, k: F.array_join(F.slice(held, k + 1, n), ""))
+        return F.slice(grams, 1, F.greatest(F.size(held) - n + 1, F.lit(0)))
 
-    grams = F.concat(held, *[F.when(F.size(held) >= n, joined(n)).otherwise(F.array().cast("array<string>")) for n in (2, 3)])
+    grams = once(held, lambda h: F.concat(h, joined(h, 2), joined(h, 3)))
     return F.transform(F.array_distinct(F.filter(grams, lambda g: F.length(g) >= least)), lambda g: fingerprint(g, key))
 
 
