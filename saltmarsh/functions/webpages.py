@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import states
-from saltmarsh.functions.text import empty
+from saltmarsh.functions.text import empty, once
 
 #: Signs of what bars the way: pattern and whether it is a strong one (fixed values).
 SIGNALS = {
@@ -243,11 +243,15 @@ def total(text: Column, patterns: tuple[str, ...]) -> Column:
 def _first_total(text: Column, pattern: str) -> Column:
     # Each match with the letters before it: the text is cut behind every match, and what ends a part is a match.
     mark = "\ue000"
-    parts = F.split(F.regexp_replace(text, f"(?i)({pattern})", f"$1{mark}"), mark)
-    ending = F.transform(parts, lambda part, k: F.struct(F.regexp_extract(part, f"(?is)^(.*?)(?:{pattern})$", 1).alias("before"), F.regexp_extract(part, f"(?is)(?:{pattern})$", 1).alias("said"), F.substring(F.get(parts, k + 1), 1, 1).alias("next"), (k < F.size(parts) - 1).alias("is_match")))
-    cut = lambda e: F.coalesce(e["next"].rlike("[0-9.,]"), F.lit(False)) if pattern.endswith(f"({NUMBER})") else F.lit(False)
-    good = F.filter(ending, lambda e: e["is_match"] & ~F.substring(e["before"], -40, 40).rlike(NO_TOTAL) & ~cut(e))
-    return F.get(F.filter(F.transform(good, lambda e: number(e["said"])), lambda x: x.isNotNull()), F.lit(0))
+    cut_up = F.split(F.regexp_replace(text, f"(?i)({pattern})", f"$1{mark}"), mark)
+    cut = lambda following: F.coalesce(following.rlike("^[0-9.,]"), F.lit(False)) if pattern.endswith(f"({NUMBER})") else F.lit(False)
+
+    def totals(parts: Column) -> Column:
+        ending = F.transform(parts, lambda part, k: F.when((k < F.size(parts) - 1) & ~cut(F.get(parts, k + 1)), F.struct(F.regexp_extract(part, f"(?is)^(.*?)(?:{pattern})$", 1).alias("before"), F.regexp_extract(part, f"(?is)(?:{pattern})$", 1).alias("said"))))
+        good = F.filter(ending, lambda e: e.isNotNull() & ~F.substring(e["before"], -40, 40).rlike(NO_TOTAL))
+        return F.get(F.filter(F.transform(good, lambda e: number(e["said"])), lambda x: x.isNotNull()), F.lit(0))
+
+    return once(cut_up, totals)
 
 
 def availability(status: Column, page: Column, day: Column) -> Column:
