@@ -250,11 +250,14 @@ def duplicate_cases(rows: DataFrame, new: DataFrame) -> DataFrame:
     Pairs without a shared key don't meet at all.
     """
     null = lambda c: F.nullif(F.trim(c), F.lit(""))
-    keyed = lambda t, name: t.select(
+    # Equal rows are put together before they meet, and a pair is kept at the first key that it shares: so no pair is shuffled.
+    whole = lambda t, name: t.select(
         F.col("id").alias(name), F.struct(null(F.col("url")).alias("url"), null(F.col("handle")).alias("handle"), null(F.col("forum")).alias("forum")).alias(f"{name}_r"),
-        F.explode(F.array_compact(F.concat(F.array(null(F.col("url"))), org_keys(F.col("org"))))).alias("key"),
-    )
-    pairs = keyed(rows, "row").join(keyed(new, "case"), "key").select("row", "case", "row_r", "case_r").distinct()
+        F.array_distinct(F.array_compact(F.concat(F.array(null(F.col("url"))), org_keys(F.col("org"))))).alias(f"{name}_keys"),
+    ).groupBy(name, f"{name}_r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{name}_keys")))).alias(f"{name}_keys"))
+    keyed = lambda t, name: whole(t, name).select("*", F.explode(f"{name}_keys").alias("key"))
+    met = keyed(rows, "row").join(keyed(new, "case"), "key")
+    pairs = met.where(F.col("key") == F.get(F.array_intersect("row_keys", "case_keys"), F.lit(0))).select("row", "case", "row_r", "case_r")
     a, b = F.col("row_r"), F.col("case_r")
     known = lambda f: a[f].isNotNull() & b[f].isNotNull()
     kind = (
