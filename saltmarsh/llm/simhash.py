@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.components import components
-from saltmarsh.llm.shared import bucket, first_rows, keyed, shared_apart, written
+from saltmarsh.llm.shared import KEYS, bucket, first_rows, keyed, shared_apart, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Lanes are checked for abandoned blocks after so many bit planes.
@@ -319,10 +319,22 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows (key, ...) with how many chunks of chunk rows their key is dealt into, and their own."""
+    """rows (key, ...) with how many chunks of chunk rows their key is dealt into, and their own.
+
+    Keys with over a KEYS-th of all rows are fewer than KEYS. Their chunks are part of the expression, so no row passes a join
+    for them; other keys of over chunk rows meet theirs by shuffle.
+    """
     large = rows.groupBy("key").count().where(F.col("count") > chunk)
-    placed = shared_apart(rows, large, ["key"], "count", rows.count())
-    placed = placed.withColumn("chunks", F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")).drop("count")
+    large = written(large.select("key", "count", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "near-large")
+    much = F.col("count") > rows.count() / KEYS
+    heavy = {r.key: r.chunks for r in large.where(much).collect()}  # fewer than KEYS
+    placed, light = rows.withColumn("chunks", F.lit(1)), large.where(~much).select("key", "chunks")
+    if heavy:
+        of_key = F.map_from_arrays(F.lit(list(heavy)), F.lit(list(heavy.values())))
+        placed = rows.withColumn("chunks", F.when(F.col("key").isin(*heavy), of_key[F.col("key")]).otherwise(1))
+    if not light.isEmpty():
+        rest = rows.where(~F.col("key").isin(*heavy)).join(light, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        placed = placed.where(F.col("key").isin(*heavy)).unionByName(rest)
     return placed.withColumn("own", F.pmod(F.xxhash64("row", F.lit("chunk")), F.col("chunks").cast("long")).cast("int"))
 
 
@@ -471,7 +483,7 @@ def similar_groups(docs: DataFrame, row: str, text_col: str = "text", words: int
     crossing = crossing.where(F.col("of_dst") != F.coalesce("component", "src")).select("src", "dst")
     crossing = possible_pairs(written(crossing, "near-crossed"), each, similarity)
     linked = linked.unionByName(written(similar_pairs(crossing, docs, row, text_col, words, similarity), "near-crossing"))
-    placed = entries.join(_components_of(linked), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    placed = written(entries.join(_components_of(linked), "row", "left").withColumn("component", F.coalesce("component", "row")), "near-placed")
     apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     rest = written(shared_apart(placed, apart, ["key"], "n", placed.count(), "left_semi"), "near-rest")
     rest = rest.join(each.select("row", "parity"), "row")
